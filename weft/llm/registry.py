@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from weft.llm.bpe import op3_bpe
 from weft.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from weft.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES = {
