@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weft.llm.bpe import op3_bpe
 from weft.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from weft.llm.language import op5_language
 from weft.llm.pii import op4_pii
 from weft.llm.secrets import op10_secret_scan
 from weft.llm.token_files import op9_token_files
@@ -11,6 +12,7 @@ from weft.llm.token_files import op9_token_files
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
+    "op5_language": op5_language,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
