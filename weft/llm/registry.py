@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from weft.llm.bpe import op3_bpe
+from weft.llm.chat import OP8_SQL, op8_chat
+from weft.llm.decontamination import OP2_SQL, op2_decontamination
 from weft.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from weft.llm.language import op5_language
 from weft.llm.pii import op4_pii
@@ -10,14 +12,18 @@ from weft.llm.secrets import op10_secret_scan
 from weft.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_language": op5_language,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
+    "op2_decontamination": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_chat": OP8_SQL,
 }
