@@ -7,6 +7,7 @@ from weft.llm.chat import OP8_SQL, op8_chat
 from weft.llm.decontamination import OP2_SQL, op2_decontamination
 from weft.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from weft.llm.language import op5_language
+from weft.llm.licenses import OP7_SQL, op7_license_scan
 from weft.llm.pii import op4_pii
 from weft.llm.secrets import op10_secret_scan
 from weft.llm.token_files import op9_token_files
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_language": op5_language,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_chat": op8_chat,
     "op9_token_files": op9_token_files,
     "op10_secret_scan": op10_secret_scan,
@@ -25,5 +27,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op7_license_scan": OP7_SQL,
     "op8_chat": OP8_SQL,
 }
