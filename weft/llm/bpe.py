@@ -163,6 +163,13 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def tokenised(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids, ids_sha256, decoded_sha256 of each row of docs."""
+    ids = encode_documents(docs, ranks, pattern)
+    said = F.array_join(F.transform("token_ids", lambda i: i.cast("string")), " ")
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -69,3 +69,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id is not in the one column of gone; rows without id stay.
+
+    The ids are written first, so that their size is known when the join is
+    planned: few of them are broadcast, many are joined by a shuffle.
+    """
+    gone = stored(gone.toDF("_gone"), "gone")
+    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

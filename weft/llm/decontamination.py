@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, stored, table, text_of
+from weft.llm.common import ship, stored, table, text_of, without
 from weft.llm.hashing import WordHasher, byte_table, run_hashes
 
 WINDOW = 13
@@ -262,8 +262,8 @@ def _peek(blocks: Iterator) -> Iterator[tuple[object, bool]]:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    gone = contamination(docs, benchmark, id_col).filter("contaminated").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = contamination(docs, benchmark, id_col).filter("contaminated").select(id_col)
+    return without(docs, gone, id_col)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

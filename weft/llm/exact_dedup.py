@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table, text_of
+from weft.llm.common import table, text_of, without
 
 WHITE = "[ \\t-\\r]+"
 #: Rank of a row within its group: code points first, then the id, as one number.
@@ -67,8 +67,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(id_col)
+    return without(docs, gone, id_col)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, stored, table, text_of
+from weft.llm.common import ship, stored, table, text_of, without
 from weft.llm.components import components
 from weft.llm.hashing import WordHasher, byte_table, constants, mix, run_hashes
 
@@ -313,8 +313,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs with the smallest id of their component, with all their columns."""
     found = jaccard_join(docs, id_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col)
+    return without(docs, gone, id_col)
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, table, text_of
+from weft.llm.common import ship, table, text_of, without
 
 TRAIN_ROWS = 20_000
 TABLE_WORDS = 60_000
@@ -247,8 +247,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, least: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose language is determined with a score of `least` or more."""
     found = identify(docs, learn(docs, id_col), id_col)
-    gone = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = found.filter((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select(id_col)
+    return without(docs, gone, id_col)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
