@@ -22,8 +22,12 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application.
 
     Functions given to mapInArrow are pickled by reference; executors that have
-    no copy of the repository on their path import them from this archive.
+    no copy of the repository on their path import them from this archive. Arrow
+    batches are bounded in rows and bytes, so that a Python worker never holds
+    thousands of long texts at once.
     """
+    for key, most in (("maxRecordsPerBatch", 8192), ("maxBytesPerBatch", 1 << 23)):
+        spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -15,6 +15,7 @@ at bit i * bits: a reader needs no earlier id to unpack a range.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import new_path, ship, table, text_of
+from weft.llm.pretokenize import cutter
 
 BLOCK_IDS = 1 << 16
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 BLOCKS = "part int, block long, first long, n_ids long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -59,36 +61,50 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return flags.reshape(-1, bits).astype(np.uint32) @ weights
 
 
-class Pieces:
-    """Ids of a text by the tokenizers library; each distinct piece is encoded once.
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies.
+
+    Printable Latin-1 bytes stand for themselves, the others for the letters from
+    256 on, in order.
+    """
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+class Pieces(dict):
+    """Ids of a text by the tokenizers library; the ids of a piece are remembered.
 
     The vocabulary merges within the pieces that the pre-tokeniser's pattern cuts,
-    so the ids of a text are those of its pieces. The memory of pieces is bounded:
-    when it is full it is emptied and fills again.
+    so the ids of a text are those of its pieces, and the library's model is asked
+    for each piece that isn't known. Half of the memory is renewed when it is full:
+    pieces met since the last renewal stay.
     """
 
     def __init__(self, path: str, pattern: str):
-        import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.cut = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        known, cut = self.known, self.cut
-        if len(known) > CACHED_PIECES:
-            known.clear()
-        out = []
-        for text in texts:
-            pieces = cut(text)
-            new = list(set(pieces).difference(known))
-            for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-                known[piece] = np.array(code.ids, "<u4").tobytes()
-            out.append(np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4"))
-        return out
+        self.cut = cutter(pattern)
+        self.letters = byte_letters()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        code = self.older.get(piece)
+        if code is None:
+            ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            code = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = code
+        return code
+
+    def encode(self, text: str) -> np.ndarray:
+        if len(self) > CACHED_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), "<u4")
 
 
 _PIECES: dict[tuple[str, str], Pieces] = {}
@@ -106,12 +122,12 @@ def _blocks(path: str, pattern: str, end_id: int):
 
         part, encoder = TaskContext.get().partitionId(), pieces_for(path, pattern)
         bits, end = bits_for(max(encoder.vocabulary, end_id + 1)), np.array([end_id], "<u4")
-        block = first = 0
+        block = first = held = 0
         ids: list[np.ndarray] = []
         docs: list = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, first, ids, docs
+            nonlocal block, first, held, ids, docs
             offsets = np.cumsum([0, *(len(x) for x in ids)])
             made = pa.RecordBatch.from_pydict(
                 {
@@ -125,17 +141,16 @@ def _blocks(path: str, pattern: str, end_id: int):
                     "payload": pa.array([pack(np.concatenate(ids), bits)], pa.binary()),
                 }
             )
-            block, first, ids, docs = block + 1, first + int(offsets[-1]), [], []
+            block, first, held, ids, docs = block + 1, first + int(offsets[-1]), 0, [], []
             return made
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 64):
-                for key, code in zip(keys[at : at + 64], encoder.encode_batch(texts[at : at + 64].to_pylist())):
-                    ids.append(np.concatenate([code, end]))
-                    docs.append(key)
-                    if sum(map(len, ids[-1:])) >= BLOCK_IDS or len(docs) % 32 == 0 and sum(map(len, ids)) >= BLOCK_IDS:
-                        yield flush()
+            for key, text in zip(batch.column(0), batch.column(1)):
+                ids.append(np.concatenate([encoder.encode(text.as_py()), end]))
+                docs.append(key.as_py())
+                held += len(ids[-1])
+                if held >= BLOCK_IDS:
+                    yield flush()
         if docs:
             yield flush()
 
@@ -176,15 +191,16 @@ def _with_starts(spark: SparkSession, path: str) -> DataFrame:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             ids = unpack(row["payload"], row["bits"], 0, row["n_ids"]).astype("<u4")
-            at = np.array(row["offsets"], np.int64)
+            ends = np.array(row["offsets"], np.int64)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "start": pa.array(at[:-1] + row["start"], pa.int64()),
-                    "n_tokens": pa.array(np.diff(at), pa.int64()),
-                    "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])], pa.int64()),
+                    "start": pa.array(ends[:-1] + row["start"], pa.int64()),
+                    "n_tokens": pa.array(np.diff(ends), pa.int64()),
+                    "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])], pa.int64()),
                 }
             )
 
