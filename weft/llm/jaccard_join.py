@@ -43,8 +43,10 @@ from weft.llm.hashing import WordHasher, byte_table, constants, mix, run_hashes
 SHINGLE = 5
 PARTS = 48
 SKETCH_WORDS = 16
-#: Of a key's nodes so many may be outside its largest component before it is split further.
-MINORS, SPLITS = 32, 2
+#: Nodes of a key that one task compares with each other, and how often larger keys are split by another key.
+BLOCK, SPLITS = 4096, 2
+#: Most bits of the table that tells which rows' sets are needed: 64 MB.
+NEEDED_BITS = 1 << 29
 _SALT = constants(11, 256)
 _HASHER: list[WordHasher] = []
 
@@ -193,13 +195,62 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
-            shingles, sizes = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
-            ends = np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["node", "shingles"])
+def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, label, n, sketch) in order of key: the pairs within a key that labels divide and a link allows."""
+    held: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, label, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+        sketch = np.stack(rows.column(4).to_numpy()).view(np.uint64)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(node) - 1):
+            j = np.flatnonzero((label[i + 1 :] != label[i]) & (5 * np.minimum(n[i], n[i + 1 :]) >= 4 * np.maximum(n[i], n[i + 1 :]))) + i + 1
+            if len(j):
+                distance = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
+                j = j[distance * 9 <= n[j] + n[i]]
+                a.append(np.minimum(node[i], node[j]))
+                b.append(np.maximum(node[i], node[j]))
+        return np.concatenate(a), np.concatenate(b)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        key = rows.column(0).to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        for start, end in zip(cuts, cuts[1:]):
+            a, b = pairs(rows.slice(start, end - start))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        held.clear()
+
+    for batch in batches:  # a key's rows are held together; whole keys before the last are done
+        key = batch.column(0).to_numpy()
+        if held and len(key) and held[-1].column(0)[held[-1].num_rows - 1].as_py() != key[0]:
+            yield from flush()
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:
+            held.append(batch.slice(0, last))
+            yield from flush()
+        held.append(batch.slice(last))
+    yield from flush()
+
+
+def _sets(table_of: bytes, bits: int):
+    """Rows (id, text) to (id, shingles) for the rows that the bit table says are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(table_of, np.uint8)
+        for whole in batches:
+            h = whole.column(2).to_numpy()
+            whole = whole.filter(pa.array((flags[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                shingles, sizes = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
+                ends = np.cumsum(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["id", "shingles"])
+
+    return run
 
 
 def _within(a: str, b: str) -> Column:
@@ -221,11 +272,10 @@ class _Join:
         self.profiles = stored(self.rows.mapInArrow(_profiles, schema), "profiles")
         classes = self.profiles.filter("n > 0").groupBy("node", "n", "check").agg(F.min("id").alias("class_id"))
         self.classes = stored(classes, "classes")
-        self.tried: DataFrame | None = None
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(self, rows: DataFrame) -> DataFrame:
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartition(parts, "key").sortWithinPartitions("key", "node")
+        rows = rows.repartition(self.parts, "key").sortWithinPartitions("key", "node")
         return stored(rows.mapInArrow(_key_groups, "key long, node long, before long"), "keys")
 
     def described(self, nodes: DataFrame) -> DataFrame:
@@ -233,61 +283,71 @@ class _Join:
         some = self.profiles.filter(F.size("keys") > 0).select("node", "n", "sketch").join(nodes.select("node").distinct(), "node", "left_semi")
         return stored(some.dropDuplicates(["node"]), "nodes")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """node, shingles: the full sets of some nodes.
+
+        A bit table of bounded size, built by Spark's bitmap aggregates, tells the scan which rows
+        may be needed, so that texts aren't shuffled and only these rows' sets are.
+        """
+        needed = stored(self.classes.join(nodes.select("node"), "node").groupBy("node").agg(F.min("class_id").alias("id")), "needed")
+        bits = min(NEEDED_BITS, max(1 << 15, 1 << (16 * needed.count()).bit_length()))
+        place = F.pmod(F.xxhash64("id"), F.lit(bits))
+        marked = needed.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("flags"))
+        flags = bytearray(bits // 8)
+        for row in marked.collect():  # bits / 8 bytes at most
+            flags[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.flags
+        found = self.rows.select("id", "text", place.alias("h")).mapInArrow(_sets(bytes(flags), bits), "id long, shingles binary")
+        # repeated ids bring one set more than once
+        return stored(found.join(needed, "id").select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link."""
-        pairs = stored(pairs, "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = self.classes.join(ids, "node").groupBy("node").agg(F.min("class_id").alias("id"))
-        texts = self.rows.join(needed, "id").select("node", "text")  # repeated ids bring one set more than once
-        sets = stored(texts.mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         return stored(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
 
     def neighbours(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
-        """Links between the nodes that follow each other in a key."""
+        """Pairs of nodes that follow each other in a key, as far as size and sketch allow."""
         pairs = keys.filter("before is not null").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
-        self.tried = stored(pairs, "tried")
         a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-        return self.linked(self.tried.join(a, "a").join(b, "b").filter(_within("a", "b")).select("a", "b"))
+        return stored(pairs.join(a, "a").join(b, "b").filter(_within("a", "b")).select("a", "b"), "pairs")
 
-    def across(self, keys: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of one key in different components that weren't tried and may link."""
+    def across(self, keys: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+        """Pairs of one key in different components, as far as size and sketch allow, that weren't tried."""
         found, level = None, keys.select("key", "node")
         for split in range(SPLITS + 1):
             rows = level.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-            mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-            rows = stored(rows.join(mixed, "key", "left_semi"), "mixed")
-            if rows.isEmpty():
-                break
-            sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
-            top = sizes.groupBy("key").agg(F.sum("k").alias("c"), F.max(F.struct("k", "label")).alias("top"))
-            top = stored(top.select("key", (F.col("c") - F.col("top.k")).alias("minors"), F.col("top.label").alias("top")), "key-sizes")
-            split_on = F.lit(False) if split == SPLITS else F.col("minors") > MINORS
-            rows = rows.join(top, "key").join(nodes, "node")
-            side = {x: rows.filter(~split_on).select("key", "top", *(F.col(c).alias(f"{x}_{c}") for c in ("node", "label", "n", "sketch"))) for x in "ab"}
-            a = side["a"].filter(F.col("a_label") != F.col("top"))
-            # two minors come up twice and are taken where a is the lesser
-            once = (F.col("b_label") == F.col("top")) | (F.col("a_node") < F.col("b_node"))
-            pairs = a.join(side["b"].drop("top"), "key").filter((F.col("a_label") != F.col("b_label")) & once & _within("a", "b"))
-            pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+            sizes = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("key", "size")
+            rows = stored(rows.join(sizes, "key"), "mixed")
+            large = rows.filter(F.col("size") > BLOCK)
+            last = split == SPLITS or large.isEmpty()
+            if split == SPLITS:  # what is still large is compared by all pairs of its blocks
+                n = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
+                own = F.pmod(F.xxhash64("node"), n).cast("int")
+                other = F.explode(F.sequence(F.lit(0), n - 1)).alias("_o")
+                blocks = large.select("key", "node", "label", own.alias("_b"), other)
+                blocks = blocks.select(F.xxhash64("key", F.least("_b", "_o"), F.greatest("_b", "_o")).alias("key"), "node", "label")
+                rows = rows.filter(F.col("size") <= BLOCK).select("key", "node", "label").unionByName(blocks)
+            else:
+                rows = rows.filter(F.col("size") <= BLOCK).select("key", "node", "label")
+            pairs = rows.join(nodes, "node").select("key", "node", "label", "n", "sketch").repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(_crossed, "a long, b long")
             found = pairs if found is None else found.unionByName(pairs)
-            if split == SPLITS:
+            if last:
                 break
-            heavy = rows.filter(split_on).select("key", "node")
             other = keys.select(F.col("key").alias("_key"), "node")
-            level = heavy.join(other, "node").filter("key <> _key").select(F.xxhash64("key", "_key").alias("key"), "node")
-            level = self.keyed(level.distinct()).select("key", "node")
-        if found is None:
-            return self.spark.createDataFrame([], "a long, b long")
-        return found.distinct().join(self.tried, ["a", "b"], "left_anti")
+            level = large.select("key", "node").join(other, "node").filter("key <> _key").select(F.xxhash64("key", "_key").alias("key"), "node")
+            level = self.keyed(level).select("key", "node")
+        return stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
 
     def labels(self) -> DataFrame:
+        """node, label of the nodes that some link touches."""
         keys = self.keyed(self.profiles.select(F.explode("keys").alias("key"), "node"))
         nodes = self.described(keys)
-        links = self.neighbours(keys, nodes)
+        sets = self.sets_of(nodes)
+        tried = self.neighbours(keys, nodes)
+        links = self.linked(tried, sets)
         labels = components(links)
-        more = self.linked(self.across(keys, nodes, labels))
+        more = self.linked(self.across(keys, nodes, labels, tried), sets)
         return labels if more.isEmpty() else components(links.unionByName(more))
 
 
