@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The short list of words that say nothing about a concept.
 STOP_WORDS = ["a", "an", "and", "by", "for", "from", "has", "in", "is", "of", "on", "or", "the", "to", "with"]
@@ -35,7 +36,7 @@ def separate_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"[-_\s]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_marks(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c)))
 
@@ -192,7 +193,7 @@ class Stemmer:
         return w[:-1] if self.measure(w) > 1 and self.doubled(w) and w.endswith("l") else w
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stem_words(text: pd.Series) -> pd.Series:
     stemmer, known = Stemmer(), {}
 

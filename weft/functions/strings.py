@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _paired(kernel: Callable[[str, str], float]) -> Callable[[Column, Column], Column]:
@@ -22,7 +23,7 @@ def _paired(kernel: Callable[[str, str], float]) -> Callable[[Column, Column], C
         known = lru_cache(maxsize=1 << 16)(kernel)
         return pd.Series([None if x is None or y is None else known(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return F.pandas_udf(over, "double")
+    return F.pandas_udf(over, T.DoubleType())
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

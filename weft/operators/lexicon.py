@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions.normalise import separate_words
 
@@ -58,7 +59,7 @@ def term_synonym_kernel(a: str, b: str) -> tuple[str, str] | None:
     return middle if all(middle) and (head or tail) else None
 
 
-@F.pandas_udf("struct<term:string,synonym:string>")
+@F.pandas_udf(T.StructType([T.StructField("term", T.StringType()), T.StructField("synonym", T.StringType())]))
 def term_synonym(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     found = [term_synonym_kernel(x, y) or (None, None) for x, y in zip(a, b)]
     return pd.DataFrame(found, columns=["term", "synonym"], dtype="object")

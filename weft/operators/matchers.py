@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weft.functions import normalise as N
 from weft.functions import strings as S
@@ -119,7 +120,7 @@ def advanced_kernel(a: str, b: str) -> float:
     return min(1.0, total / max(map(len, content)) + bonus)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def advanced(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([advanced_kernel(x, y) for x, y in zip(a.fillna(""), b.fillna(""))], dtype="float64")
 

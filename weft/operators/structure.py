@@ -150,8 +150,9 @@ def flood(graph: DataFrame, start: DataFrame, rounds: int = 10, least_change: fl
     graph = _cut(graph)
     now = _cut(start.select(*PAIR, "similarity"))
     for _ in range(rounds):
-        sent = now.join(graph, (now.src_id == graph.a1) & (now.tgt_id == graph.b1)).select(F.col("a2").alias("src_id"), F.col("b2").alias("tgt_id"), (F.col("similarity") * F.col("w")).alias("similarity"))
-        summed = now.unionByName(sent).groupBy(*PAIR).agg(F.sum("similarity").alias("similarity"))
+        sent = now.select(F.col("src_id").alias("a1"), F.col("tgt_id").alias("b1"), "similarity").join(graph, ["a1", "b1"])
+        sent = sent.select(F.col("a2").alias("src_id"), F.col("b2").alias("tgt_id"), (F.col("similarity") * F.col("w")).alias("similarity"))
+        summed = now.select(*(F.col(c).alias(c) for c in (*PAIR, "similarity"))).unionByName(sent).groupBy(*PAIR).agg(F.sum("similarity").alias("similarity"))
         top = summed.agg(F.max("similarity").alias("_top"))
         new = _cut(summed.crossJoin(F.broadcast(top)).select(*PAIR, F.when(F.col("_top") > 0, F.col("similarity") / F.col("_top")).otherwise(0.0).alias("similarity")))
         if least_change > 0:

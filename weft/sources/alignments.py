@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,9 +85,24 @@ def as_cells(cells: DataFrame) -> DataFrame:
     return cells.select(said.alias("value"))
 
 
+RDF_HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'
+RDF_FOOT = "</rdf:RDF>"
+
+
+def well_formed(lines: DataFrame, head: str = RDF_HEAD, foot: str = RDF_FOOT) -> DataFrame:
+    """The lines of each partition between a head and a foot, so that each part file is a document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [head]})
+        yield from batches
+        yield pd.DataFrame({"value": [foot]})
+
+    return lines.select("value").mapInPandas(run, "value string")
+
+
 def write_cells(cells: DataFrame, path: str) -> None:
-    """A folder of part files, each of whose lines is one map element."""
-    as_cells(cells).write.text(path)
+    """A folder of part files, each an alignment document with one map element on a line."""
+    well_formed(as_cells(cells)).write.text(path)
 
 
 def write_arrows(cells: DataFrame, path: str) -> None:
