@@ -62,7 +62,10 @@ def contexts(docs: DataFrame, window: int, id_col: str = "doc_id", text: str = "
 
 
 def train_kernel(inputs: np.ndarray, outputs: np.ndarray, centre: np.ndarray, context: np.ndarray, draws: np.ndarray, rate: float, cbow: bool = False) -> None:
-    """One step over many pairs, with negatives: logistic gradients summed by word, in place.
+    """One step over many pairs, with negatives: logistic gradients by word, in place.
+
+    A word's gradients are summed and divided by the root of their number, so that a frequent
+    word doesn't leap.
 
     centre: word ids, or for CBOW lists of context ids padded by -1; context: the word that
     is predicted; draws: negative ids for each pair.
@@ -79,12 +82,19 @@ def train_kernel(inputs: np.ndarray, outputs: np.ndarray, centre: np.ndarray, co
     out = outputs[words]
     error = (truth - 1 / (1 + np.exp(-np.clip(np.einsum("ij,ikj->ik", hidden, out), -30, 30)))) * rate
     back = np.einsum("ik,ikj->ij", error, out)
-    np.add.at(outputs, words.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]))
+    _add(outputs, words.ravel(), (error[:, :, None] * hidden[:, None, :]).reshape(-1, hidden.shape[1]))
     if cbow:
         rows, columns = np.nonzero(there)
-        np.add.at(inputs, centre[rows, columns], back[rows])
+        _add(inputs, centre[rows, columns], back[rows])
     else:
-        np.add.at(inputs, centre, back)
+        _add(inputs, centre, back)
+
+
+def _add(weights: np.ndarray, words: np.ndarray, steps: np.ndarray) -> None:
+    known, place, times = np.unique(words, return_inverse=True, return_counts=True)
+    sums = np.zeros((len(known), weights.shape[1]))
+    np.add.at(sums, place, steps)
+    weights[known] += sums / np.sqrt(times)[:, None]
 
 
 def train(docs: DataFrame, vocab: DataFrame, dim: int = 16, window: int = 2, negatives: int = 5, rate: float = 0.05, epochs: int = 1, cbow: bool = False, seed: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:

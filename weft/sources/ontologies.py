@@ -40,7 +40,7 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 def repaired(lines: DataFrame) -> DataFrame:
     """Backslashes that begin no valid escape are doubled."""
-    return lines.select(F.regexp_replace("value", r'\\(?![tbnrf"\'\\uU])', r"\\\\").alias("value"))
+    return lines.select(F.regexp_replace("value", r'(?<!\\)((?:\\\\)*)\\(?![tbnrf"\'\\uU])', r"$1\\\\").alias("value"))
 
 
 def read_rdf_xml(spark: SparkSession, path: str) -> DataFrame:
