@@ -1,0 +1,53 @@
+"""The registered queries against SQL on the smallest tables, held-out accuracy, and the pipeline."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+DATA = Path("/root/testdata/sf0.001")
+pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+
+
+def canonical(frame):
+    frame = frame[sorted(frame.columns)]
+    return sorted(map(str, frame.itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", ["op1_jaccard_join", "op2_decontamination", "op6_exact_dedup", "op7_license_scan", "op8_chat"])
+def test_against_sql(spark, name):
+    from weft.llm.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for file in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM '{file}'")
+    got, want = QUERIES[name](spark, str(DATA)).toPandas(), con.execute(ORACLES[name]).df()
+    assert canonical(got) == canonical(want)
+
+
+def test_held_out_languages(spark):
+    from weft.llm.language import op5_language
+
+    found = op5_language(spark, str(DATA)).join(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = found.filter("held_out AND lang IS NOT NULL")
+    assert held.filter("lang_pred = lang").count() >= 0.95 * held.count() > 0
+
+
+def test_pipeline(spark):
+    """Each stage against what it should keep of its own input."""
+    import corpus_pipeline
+    from weft.llm.common import stored
+    from weft.llm.registry import QUERIES
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns, sizes = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, str(DATA)), name)
+        sizes.append(docs.count())
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] and sizes[-2] < sizes[0]
+    assert corpus_pipeline.run(spark, str(DATA)).count() == sizes[-1]
+    assert set(QUERIES) == {f"op{n}_{x}" for n, x in (q[2:].split("_", 1) for q in QUERIES)} and len(QUERIES) == 10
