@@ -152,3 +152,39 @@ def cosine_join(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def first_of(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_r = 1").drop("_r")
+
+
+def restricted_classes(triples: DataFrame) -> DataFrame:
+    """class, property, filler of restrictions that classes are under; triples: s, p (local names), o."""
+    sub = triples.filter("p = 'subClassOf'").select(F.col("s").alias("class"), F.col("o").alias("r"))
+    on = triples.filter("p = 'onProperty'").select(F.col("s").alias("r"), F.col("o").alias("property"))
+    filler = triples.filter("p IN ('someValuesFrom', 'allValuesFrom', 'hasValue')").select(F.col("s").alias("r"), F.col("o").alias("filler"))
+    return sub.join(on, "r").join(filler, "r").select("class", "property", "filler").distinct()
+
+
+def inferred_by_third(equal: DataFrame, third_edges: DataFrame, third: DataFrame, target: DataFrame) -> DataFrame:
+    """Sources that equal a class of a third ontology are above the targets that its subclasses' names equal.
+
+    equal: src_id, tgt_id (the third's id); third_edges: child, parent; third, target: id, label.
+    """
+    below = equal.join(third_edges.filter("parent IS NOT NULL"), equal.tgt_id == F.col("parent")).select("src_id", F.col("child").alias("id"))
+    named = below.join(third, "id").select("src_id", F.lower("label").alias("_l"))
+    return named.join(target.select(F.col("id").alias("tgt_id"), F.lower("label").alias("_l")), "_l").select(*PAIR, F.lit(">").alias("relation")).distinct()
+
+
+def expanded_keywords(source: DataFrame, abbreviations: DataFrame, words: str = "words") -> DataFrame:
+    """id, words: the words and the words that their abbreviations stand for; abbreviations: short, long."""
+    own = source.select("id", F.explode(words).alias("w"))
+    more = own.join(abbreviations, F.lower("w") == F.lower("short")).select("id", F.explode(F.split(F.lower("long"), " ")).alias("w"))
+    return own.unionByName(more).groupBy("id").agg(F.array_sort(F.collect_set("w")).alias("words"))
+
+
+def keyword_index(records: DataFrame, text: str) -> DataFrame:
+    """word, id, n: a posting for each word of a record's text."""
+    words = records.select("id", F.explode(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " +")).alias("word"))
+    return words.filter("word <> ''").groupBy("word", "id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def search(index: DataFrame, words: list[str]) -> DataFrame:
+    """id, hits: the records that hold any of a few words, with how many of them."""
+    return index.filter(F.col("word").isin([w.lower() for w in words])).groupBy("id").agg(F.count_distinct("word").alias("hits"))

@@ -188,3 +188,69 @@ def ranking_accuracy(ranked: DataFrame, order: str, wrong: str, group: str) -> D
     """Running share of wrong answers along a ranking, within each group."""
     w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return ranked.select(group, order, (F.sum(F.col(wrong).cast("int")).over(w) / F.count(F.lit(1)).over(w)).alias("share"))
+
+
+def relation_accuracy(found: DataFrame, reference: DataFrame) -> DataFrame:
+    """Counts of found correspondences with the reference's relation, with another, and without a reference, for each relation."""
+    a = found.select(*PAIR, "relation").distinct()
+    b = reference.select(*PAIR, F.col("relation").alias("_r")).distinct()
+    both = a.join(b, PAIR, "left")
+    return both.groupBy("relation").agg(F.count_if(F.col("relation") == F.col("_r")).alias("correct"), F.count_if(F.col("relation") != F.col("_r")).alias("other"), F.count_if(F.col("_r").isNull()).alias("unknown"))
+
+
+def plain_accuracy(found: DataFrame, reference: DataFrame) -> DataFrame:
+    """Precision, recall and F without guards: undefined ratios are null."""
+    n = accuracy(found, reference).select("n_found", "n_reference", "n_correct")
+    n = n.select((F.col("n_correct") / F.nullif(F.col("n_found"), F.lit(0))).alias("precision"), (F.col("n_correct") / F.nullif(F.col("n_reference"), F.lit(0))).alias("recall"))
+    return n.withColumn("f", 2 * F.col("precision") * F.col("recall") / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)))
+
+
+def lattice_distances(edges: DataFrame, nodes: DataFrame, upper: bool = True) -> DataFrame:
+    """a, b, distance over the greatest there can be: ancestors (or descendants) of both less twice the most of a common one's.
+
+    nodes: node, the mapped ones. Counts include the node itself; nodes without a common one have their whole counts.
+    """
+    from weft.operators.candidates import closure
+
+    up = closure(edges).select("low", "high") if upper else closure(edges).select(F.col("high").alias("low"), F.col("low").alias("high"))
+    all_nodes = edges.select(F.col("child").alias("n")).union(edges.filter("parent IS NOT NULL").select("parent")).distinct()
+    self_up = up.unionByName(all_nodes.select(F.col("n").alias("low"), F.col("n").alias("high")))
+    counts = self_up.groupBy(F.col("low").alias("n")).agg(F.count(F.lit(1)).alias("k"))
+    has_parent, has_child = edges.filter("parent IS NOT NULL").select(F.col("child").alias("n")).distinct(), edges.filter("parent IS NOT NULL").select(F.col("parent").alias("n")).distinct()
+    n, roots, leaves = all_nodes.count(), all_nodes.join(has_parent, "n", "left_anti").count(), all_nodes.join(has_child, "n", "left_anti").count()
+    widest = float(n - 1 + (roots != 1) + (leaves != 1))
+    mine = nodes.select("node").distinct()
+    way = mine.join(self_up, F.col("node") == F.col("low")).join(counts.withColumnRenamed("n", "high"), "high").select("node", "high", "k")
+    common = way.select(F.col("node").alias("a"), "high", "k").join(way.select(F.col("node").alias("b"), "high"), "high").groupBy("a", "b").agg(F.max("k").alias("c"))
+    pairs = mine.select(F.col("node").alias("a")).crossJoin(mine.select(F.col("node").alias("b"))).filter("a <> b")
+    pairs = pairs.join(common, ["a", "b"], "left").join(counts.select(F.col("n").alias("a"), F.col("k").alias("ka")), "a").join(counts.select(F.col("n").alias("b"), F.col("k").alias("kb")), "b")
+    return pairs.select("a", "b", ((F.col("ka") + F.col("kb") - 2 * F.coalesce("c", F.lit(0))) / max(widest, 1.0)).alias("distance"))
+
+
+def distance_preservation(alignment: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, upper: bool = True) -> DataFrame:
+    """One minus the mean difference of the two sides' normalised distances over all pairs of mappings.
+
+    An alignment's pairs of mappings are what the measure is defined on: it is meant for alignments, not for matrices.
+    """
+    a = lattice_distances(src_edges, alignment.select(F.col("src_id").alias("node")), upper).withColumnRenamed("distance", "_x")
+    b = lattice_distances(tgt_edges, alignment.select(F.col("tgt_id").alias("node")), upper).withColumnRenamed("distance", "_y")
+    one, two = alignment.select(F.col("src_id").alias("s1"), F.col("tgt_id").alias("t1")), alignment.select(F.col("src_id").alias("s2"), F.col("tgt_id").alias("t2"))
+    both = one.crossJoin(two).filter((F.col("s1") < F.col("s2")) | ((F.col("s1") == F.col("s2")) & (F.col("t1") < F.col("t2"))))
+    both = both.join(a, (F.col("s1") == a.a) & (F.col("s2") == a.b), "left").join(b, (F.col("t1") == b.a) & (F.col("t2") == b.b), "left")
+    return both.agg((1 - F.avg(F.abs(F.coalesce("_x", F.lit(0.0)) - F.coalesce("_y", F.lit(0.0))))).alias("preservation"))
+
+
+def inter_coupling(scores: DataFrame) -> DataFrame:
+    """matcher, coupling: share of a matcher's best targets that are best for another matcher too."""
+    tops = scores.groupBy("matcher", "src_id").agg(F.max(F.struct("similarity", "tgt_id")).alias("b")).select("matcher", "src_id", F.col("b.tgt_id").alias("tgt_id"))
+    agree = tops.groupBy("src_id", "tgt_id").agg(F.count(F.lit(1)).alias("n"))
+    return tops.join(agree, PAIR).groupBy("matcher").agg((F.count_if(F.col("n") > 1) / F.count(F.lit(1))).alias("coupling"))
+
+
+def merged_quality(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Mean of two qualities; each is src_id, weight for a local or weight alone for a global one."""
+    if "src_id" in a.columns and "src_id" in b.columns:
+        both = a.withColumnRenamed("weight", "_a").join(b.withColumnRenamed("weight", "_b"), "src_id")
+        return both.select("src_id", ((F.col("_a") + F.col("_b")) / 2).alias("weight"))
+    both = a.withColumnRenamed("weight", "_a").crossJoin(b.withColumnRenamed("weight", "_b"))
+    return both.select(*(c for c in ("src_id",) if c in both.columns), ((F.col("_a") + F.col("_b")) / 2).alias("weight"))

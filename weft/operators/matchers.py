@@ -196,3 +196,68 @@ def random_scores(source: DataFrame, target: DataFrame, seed: int = 0) -> DataFr
     """Scores between 0 and 1 that depend on the pair and the seed alone."""
     pairs = C.all_pairs(source.select("id"), target.select("id"))
     return pairs.withColumn("similarity", F.pmod(F.xxhash64("src_id", "tgt_id", F.lit(seed)), F.lit(1_000_000)) / 1_000_000)
+
+
+def weighted_synonyms(lexicons: list[tuple[DataFrame, DataFrame, float]]) -> DataFrame:
+    """Pairs that share a form of a lexicon, by the best weight of the lexicons where they do.
+
+    Each lexicon comes as its source side and its target side (id, form).
+    """
+    out = None
+    for source, target, weight in lexicons:
+        a = source.select(F.col("id").alias("src_id"), F.lower("form").alias("form")).distinct()
+        b = target.select(F.col("id").alias("tgt_id"), F.lower("form").alias("form")).distinct()
+        one = a.join(b, "form").select(*PAIR).distinct().withColumn("similarity", F.lit(weight))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*PAIR).agg(F.max("similarity").alias("similarity"))
+
+
+def hypernyms_meet(source: DataFrame, target: DataFrame, dictionary: DataFrame, hypernyms: DataFrame) -> DataFrame:
+    """1 for pairs whose synsets are disjoint but have a hypernym in common; hypernyms: (low, high)."""
+
+    def synsets(c: DataFrame, side: str) -> DataFrame:
+        words = dictionary.select("synset", F.lower("form").alias("form"))
+        return c.select(F.col("id").alias(f"{side}_id"), F.lower("label").alias("form")).join(words, "form").select(f"{side}_id", "synset").distinct()
+
+    a, b = synsets(source, "src"), synsets(target, "tgt")
+    up = lambda s, side: s.join(hypernyms, F.col("synset") == F.col("low")).select(f"{side}_id", "high").distinct()
+    meet = up(a, "src").join(up(b, "tgt"), "high").select(*PAIR).distinct()
+    same = a.join(b, "synset").select(*PAIR).distinct()
+    return meet.join(same, PAIR, "left_anti").withColumn("similarity", F.lit(1.0))
+
+
+def subclass_scores(source: DataFrame, target: DataFrame, dictionary: DataFrame, hypernyms: DataFrame) -> DataFrame:
+    """Sources whose synset is among a target's hypernyms (or the other way round), 1 / (1 + log2(1 + steps))."""
+    words = dictionary.select("synset", F.lower("form").alias("form"))
+    a = source.select(F.col("id").alias("src_id"), F.lower("label").alias("form")).join(words, "form").select("src_id", F.col("synset").alias("s")).distinct()
+    b = target.select(F.col("id").alias("tgt_id"), F.lower("label").alias("form")).join(words, "form").select("tgt_id", F.col("synset").alias("t")).distinct()
+    above = b.join(hypernyms, F.col("t") == F.col("low")).join(a, F.col("high") == F.col("s")).select(*PAIR, F.lit(">").alias("relation"), "distance")
+    below = a.join(hypernyms, F.col("s") == F.col("low")).join(b, F.col("high") == F.col("t")).select(*PAIR, F.lit("<").alias("relation"), "distance")
+    score = 1 / (1 + F.log2(1 + F.col("distance")))
+    return above.unionByName(below).groupBy(*PAIR, "relation").agg(F.max(score).alias("similarity"))
+
+
+def by_relation(own: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Two relation-valued matrices in one: equal relations take the greater score, others the surer one's."""
+    a = own.select(*PAIR, F.col("relation").alias("_ra"), F.col("similarity").alias("_a"))
+    b = dictionary.select(*PAIR, F.col("relation").alias("_rb"), F.col("similarity").alias("_b"))
+    both = a.join(b, PAIR, "full")
+    first = F.col("_rb").isNull() | (F.coalesce("_a", F.lit(-1.0)) >= F.coalesce("_b", F.lit(-1.0)))
+    return both.select(*PAIR, F.when(first, F.col("_ra")).otherwise(F.col("_rb")).alias("relation"), F.greatest("_a", "_b").alias("similarity"))
+
+
+def greedy_mean_kernel(scores: dict[tuple[int, int], float], most: int) -> float:
+    """Best cells one after another, each row and column once; their sum over the greater side."""
+    rows, columns, total = set(), set(), 0.0
+    for (i, j), s in sorted(scores.items(), key=lambda x: (-x[1], x[0])):
+        if i not in rows and j not in columns:
+            rows.add(i)
+            columns.add(j)
+            total += s
+    return total / most if most else 0.0
+
+
+def compound_heads(concepts: DataFrame, field: str = "label") -> DataFrame:
+    """id, head: the last word of a label of several words, which names what it is a kind of."""
+    words = S.tokens(N.normalise(F.col(field)))
+    return concepts.select("id", words.alias("_w")).filter(F.size("_w") > 1).select("id", F.element_at("_w", -1).alias("head"))

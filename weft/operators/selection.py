@@ -258,3 +258,32 @@ def times(a: DataFrame, b: DataFrame) -> DataFrame:
     left = a.select("src_id", F.col("tgt_id").alias("_k"), F.col("similarity").alias("_x"))
     right = b.select(F.col("src_id").alias("_k"), "tgt_id", F.col("similarity").alias("_y"))
     return left.join(right, "_k").groupBy(*PAIR).agg(F.sum(F.col("_x") * F.col("_y")).alias("similarity"))
+
+
+def repaired(alignment: DataFrame, src_up: DataFrame, tgt_up: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """Mappings without those that contradict a surer one.
+
+    Two mappings contradict each other when their sources have one below the other and their
+    targets are in disjoint branches; *_up: (low, high), disjoint: (a, b) of targets. Of
+    two the less similar goes, unless what it contradicts is itself gone: the surest are
+    decided first, a round at a time.
+    """
+    reach = tgt_up.select("low", "high").unionByName(tgt_up.select(F.col("low"), F.col("low").alias("high"))).unionByName(tgt_up.select(F.col("high").alias("low"), "high")).distinct()
+    pairs = disjoint.select("a", "b").unionByName(disjoint.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    apart = pairs.join(reach.select(F.col("low").alias("t1"), F.col("high").alias("a")), "a", "left").join(reach.select(F.col("low").alias("t2"), F.col("high").alias("b")), "b", "left")
+    apart = apart.select(F.coalesce("t1", "a").alias("t1"), F.coalesce("t2", "b").alias("t2")).distinct()
+    m = _checked(alignment.select(*PAIR, "similarity"))
+    one, two = m.select(*(F.col(c).alias(f"{c}_1") for c in m.columns)), m.select(*(F.col(c).alias(f"{c}_2") for c in m.columns))
+    lines = src_up.select(F.col("low").alias("src_id_1"), F.col("high").alias("src_id_2"))
+    clash = one.join(lines, "src_id_1").join(two, "src_id_2").join(apart, (F.col("tgt_id_1") == F.col("t1")) & (F.col("tgt_id_2") == F.col("t2")), "left_semi")
+    key = lambda i: F.struct(F.col(f"similarity_{i}").alias("s"), (-F.col(f"src_id_{i}")).alias("a"), (-F.col(f"tgt_id_{i}")).alias("b"))
+    pair = lambda i: F.struct(F.col(f"src_id_{i}").alias("src_id"), F.col(f"tgt_id_{i}").alias("tgt_id"))
+    strong = key(1) > key(2)
+    edges = _checked(clash.select(F.when(strong, pair(1)).otherwise(pair(2)).alias("keep"), F.when(strong, pair(2)).otherwise(pair(1)).alias("drop")).distinct())
+    gone = m.select(F.struct(*PAIR).alias("drop")).limit(0)
+    while not edges.isEmpty():
+        safe = edges.select("keep").distinct().join(edges.select(F.col("drop").alias("keep")), "keep", "left_anti")
+        out = _checked(edges.join(safe, "keep", "left_semi").select("drop").distinct())
+        gone = gone.unionByName(out)
+        edges = _checked(edges.join(safe, "keep", "left_anti").join(out, "drop", "left_anti").join(out.withColumnRenamed("drop", "keep"), "keep", "left_anti"))
+    return m.join(gone.select("drop.src_id", "drop.tgt_id"), PAIR, "left_anti")

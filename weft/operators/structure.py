@@ -237,3 +237,53 @@ def parent_filter(unmapped: DataFrame, mapped: DataFrame, src_edges: DataFrame,
     pairs = unmapped.select(*PAIR).join(up_s, "src_id", "left").join(up_t, "tgt_id", "left").join(good, ["ps", "pt"], "left")
     state = pairs.groupBy(*PAIR).agg(F.max(F.col("ps").isNotNull() & F.col("pt").isNotNull()).alias("parents"), F.max(F.coalesce("ok", F.lit(False))).alias("ok"))
     return state.select(*PAIR, F.when(F.col("parents") & ~F.col("ok"), 0.0).otherwise(otherwise).alias("similarity"))
+
+
+def heights(edges: DataFrame) -> DataFrame:
+    """node, height: edges on the longest way down; 0 for leaves."""
+    turned = edges.filter("parent IS NOT NULL").select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    nodes = edges.select("child").distinct().withColumn("parent", F.lit(None).cast(dict(edges.dtypes)["parent"]))
+    return depths(turned.unionByName(nodes)).withColumnRenamed("depth", "height")
+
+
+def shape_similarity(src_edges: DataFrame, tgt_edges: DataFrame) -> DataFrame:
+    """Likeness of subtrees from the leaves up: two leaves 1, a leaf and an inner node none, else the children's greedy
+    matches' mean times the lesser over the greater number of children.
+
+    One step for each height; the children's pairs of two nodes are one group.
+    """
+    import pandas as pd
+
+    from weft.operators.matchers import greedy_mean_kernel
+
+    up_s, up_t = _sides(src_edges, tgt_edges)
+    hs = heights(src_edges).select(F.col("node").alias("src_id"), F.col("height").alias("hs"))
+    ht = heights(tgt_edges).select(F.col("node").alias("tgt_id"), F.col("height").alias("ht"))
+    kids_s = up_s.groupBy(F.col("ps").alias("src_id")).agg(F.count(F.lit(1)).alias("ks"))
+    kids_t = up_t.groupBy(F.col("pt").alias("tgt_id")).agg(F.count(F.lit(1)).alias("kt"))
+    done = _cut(hs.filter("hs = 0").select("src_id").crossJoin(ht.filter("ht = 0").select("tgt_id")).withColumn("similarity", F.lit(1.0)))
+    inner_s, inner_t = (_cut(x) for x in (hs.filter("hs > 0").join(kids_s, "src_id"), ht.filter("ht > 0").join(kids_t, "tgt_id")))
+    top = max(inner_s.agg(F.max("hs")).first()[0] or 0, inner_t.agg(F.max("ht")).first()[0] or 0)
+    kinds = dict(done.dtypes)
+
+    def score(cells: pd.DataFrame) -> pd.DataFrame:
+        first = cells.iloc[0]
+        matched = greedy_mean_kernel({(a, b): s for a, b, s in zip(cells.cs, cells.ct, cells.s)}, min(first.ks, first.kt))
+        return pd.DataFrame({"src_id": [first.src_id], "tgt_id": [first.tgt_id], "similarity": [matched * min(first.ks, first.kt) / max(first.ks, first.kt)]})
+
+    for level in range(1, top + 1):
+        pairs = inner_s.crossJoin(inner_t).filter(F.greatest("hs", "ht") == level)
+        below = done.select(F.col("src_id").alias("cs"), F.col("tgt_id").alias("ct"), F.col("similarity").alias("s"))
+        of_s, of_t = up_s.select(F.col("src_id").alias("cs"), F.col("ps").alias("src_id")), up_t.select(F.col("tgt_id").alias("ct"), F.col("pt").alias("tgt_id"))
+        cells = pairs.join(of_s, "src_id").join(of_t, "tgt_id").join(below, ["cs", "ct"])
+        now = cells.select(*PAIR, "ks", "kt", "cs", "ct", "s").groupBy(*PAIR).applyInPandas(score, f"src_id {kinds['src_id']}, tgt_id {kinds['tgt_id']}, similarity double")
+        done = _cut(done.unionByName(now))
+    return done.filter("similarity > 0")
+
+
+def partial_reference_scope(reference: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame) -> DataFrame:
+    """Pairs of nodes below one pair of a partial reference: what is matched inside its trees."""
+    up_s, up_t = C.closure(src_edges), C.closure(tgt_edges)
+    a = reference.select(F.col("src_id").alias("rs"), F.col("tgt_id").alias("rt"))
+    below = a.join(up_s.select(F.col("low").alias("src_id"), F.col("high").alias("rs")), "rs").join(up_t.select(F.col("low").alias("tgt_id"), F.col("high").alias("rt")), "rt")
+    return below.select(*PAIR).distinct()
