@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.numbering import numbered
+
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), " "), lambda w: w != "")
@@ -32,14 +34,14 @@ def running_share(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     """word, cnt, upper: the cumulative share of cnt^power, frequent words first.
 
     Words of one count have equal weights, so sums run over distinct counts, of which
-    there are few, and words take their place within their count.
+    there are few, and a word's share follows from its place in the whole order.
     """
     counts = vocab.groupBy("cnt").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.pow(F.col("cnt"), F.lit(power)))
-    before = F.sum(F.col("n") * F.col("w")).over(W.orderBy(F.desc("cnt")).rowsBetween(W.unboundedPreceding, W.currentRow))
+    upto = W.orderBy(F.desc("cnt")).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = counts.agg(F.sum(F.col("n") * F.col("w")).alias("total"))
-    counts = counts.withColumn("upto", before).crossJoin(F.broadcast(total))
-    place = F.row_number().over(W.partitionBy("cnt").orderBy("word"))
-    return vocab.withColumn("i", place).join(counts, "cnt").select("word", "cnt", ((F.col("upto") - (F.col("n") - F.col("i")) * F.col("w")) / F.col("total")).alias("upper"))
+    counts = counts.withColumn("upto", F.sum(F.col("n") * F.col("w")).over(upto)).withColumn("last", F.sum("n").over(upto)).crossJoin(F.broadcast(total))
+    placed = numbered(vocab.select("word", "cnt"), [F.desc("cnt"), F.col("word")]).join(counts, "cnt")
+    return placed.select("word", "cnt", ((F.col("upto") - (F.col("last") - 1 - F.col("number")) * F.col("w")) / F.col("total")).alias("upper"))
 
 
 def keep_probability(cnt: Column, total: Column, sample: float) -> Column:

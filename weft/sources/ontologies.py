@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.numbering import numbered
+
 RDF, RDFS, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2002/07/owl#"
 
 
@@ -68,8 +70,10 @@ def from_triples(triples: DataFrame) -> Ontology:
     typed = typed.groupBy(F.col("s").alias("uri")).agg(F.min(known[F.col("o")]).alias("kind"))
     value = lambda p: F.min(F.when(F.col("p") == f"{RDFS}{p}", F.col("o")))
     said = triples.groupBy(F.col("s").alias("uri")).agg(value("label").alias("label"), value("comment").alias("comment"), value("seeAlso").alias("see_also"), value("isDefinedBy").alias("is_defined_by"))
-    number = (F.row_number().over(W.partitionBy("kind").orderBy("uri")) - 1).cast("long")
-    concepts = typed.join(said, "uri", "left").select(number.alias("id"), "kind", "uri", local_name(F.col("uri")).alias("local_name"), "label", "comment", "see_also", "is_defined_by")
+    # places in the whole order less the kind's first are places within the kind
+    placed = numbered(typed.join(said, "uri", "left"), [F.col("kind"), F.col("uri")])
+    first = placed.groupBy("kind").agg(F.min("number").alias("first"))
+    concepts = placed.join(F.broadcast(first), "kind").select((F.col("number") - F.col("first")).alias("id"), "kind", "uri", local_name(F.col("uri")).alias("local_name"), "label", "comment", "see_also", "is_defined_by")
     ids = concepts.select("uri", "id", "kind")
     parts = None
     for p, kind in (("subClassOf", "class"), ("subPropertyOf", "property")):
@@ -94,7 +98,7 @@ def from_indented(lines: DataFrame, order: str, text: str, document: str) -> Ont
     before = W.partitionBy(document).orderBy("_o").rowsBetween(W.unboundedPreceding, -1)
     above = F.coalesce(*(F.when(F.col("_d") == d, F.last(F.when(F.col("_d") == d - 1, F.col("label")), ignorenulls=True).over(before)) for d in range(1, deepest + 1))) if deepest else F.lit(None).cast("string")
     linked = rows.withColumn("above", above)
-    concepts = linked.select("label").distinct().select((F.row_number().over(W.orderBy("label")) - 1).cast("long").alias("id"), F.lit("class").alias("kind"), F.concat(F.lit("#"), "label").alias("uri"), F.col("label").alias("local_name"), "label")
+    concepts = numbered(linked.select("label").distinct(), [F.col("label")], "id").select("id", F.lit("class").alias("kind"), F.concat(F.lit("#"), "label").alias("uri"), F.col("label").alias("local_name"), "label")
     child = concepts.select(F.col("label"), F.col("id").alias("child"))
     parent = concepts.select(F.col("label").alias("above"), F.col("id").alias("parent"))
     edges = linked.select("label", "above").distinct().join(child, "label").join(parent, "above", "left").select(F.lit("tree").alias("hierarchy"), "child", "parent")
