@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -89,12 +91,16 @@ def _distance(matchers: list[str]) -> Column:
 def nearest_labels(signatures: DataFrame, labelled: DataFrame, matchers: list[str], within: float) -> DataFrame:
     """For each pair the label of the nearest labelled signature within a distance; the smaller label of equals.
 
-    Equal signatures are one on both sides, so what is compared is the distinct
-    signatures, of which the labelled ones are what users have voted on.
+    Equal signatures are one on both sides. Both are put on a grid whose cells are as wide
+    as the distance, and a labelled signature is looked for in its cell and the cells beside it: a
+    join on the cell, whatever the number of labels.
     """
-    train = labelled.groupBy(*matchers).agg(F.min("label").alias("label")).alias("t")
-    distinct = signatures.select(*matchers).distinct().alias("c")
-    near = distinct.crossJoin(train).withColumn("d", _distance(matchers)).filter(F.col("d") <= within)
+    train = labelled.groupBy(*matchers).agg(F.min("label").alias("label"))
+    cell = [F.floor(F.col(m) / within) for m in matchers]
+    near_cells = [F.array(*(c + o for c, o in zip(cell, step))) for step in itertools.product((-1, 0, 1), repeat=len(matchers))]
+    train = train.withColumn("_cell", F.explode(F.array(*near_cells))).alias("t")
+    distinct = signatures.select(*matchers).distinct().withColumn("_cell", F.array(*cell)).alias("c")
+    near = distinct.join(train, F.col("c._cell") == F.col("t._cell")).withColumn("d", _distance(matchers)).filter(F.col("d") <= within)
     best = near.groupBy(*(F.col(f"c.{m}").alias(m) for m in matchers)).agg(F.min(F.struct("d", "label")).alias("b"))
     return signatures.join(best, matchers).select(*PAIR, F.col("b.label").alias("label"), F.col("b.d").alias("distance"))
 

@@ -37,7 +37,9 @@ def extended(lexicon: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     related = related_synsets(lexicon).join(lexicon.withColumnRenamed("id", "related"), "related").select("id", "form")
     out = lexicon.unionByName(related)
     if terms is not None:
-        swapped = out.crossJoin(F.broadcast(terms)).select("id", F.regexp_replace("form", F.concat(F.lit(r"\b"), "term", F.lit(r"\b")), F.col("synonym")).alias("form"))
+        first = terms.select(F.split("term", " ")[0].alias("_w"), "term", "synonym")
+        at = out.select("id", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("_w")).join(first, "_w")  # forms that hold a term's first word
+        swapped = at.select("id", F.regexp_replace("form", F.concat(F.lit(r"\b"), "term", F.lit(r"\b")), F.col("synonym")).alias("form"))
         out = out.unionByName(swapped)
     return out.distinct()
 
