@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -22,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.common import ship, table, text_of
+from weft.llm.pretokenize import cutter
 
-CACHED_PIECES = 300_000
-CACHED_PAIRS = 1_000_000
+#: What a worker remembers: small enough to stay beside the JVM when later stages run in it.
+CACHED_PIECES = 200_000
+CACHED_PAIRS = 200_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -44,13 +47,15 @@ def merged(text: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
-class Encoder:
+class Encoder(dict):
+    """Ids of texts; the ids of a piece are remembered, pieces met since the last renewal longer."""
+
     def __init__(self, path: str, pattern: str):
         import ahocorasick
-        import regex
 
+        super().__init__()
         self.ranks = read_ranks(path)
-        self.cut = regex.compile(pattern).findall
+        self.cut = cutter(pattern)
         size = max(self.ranks.values()) + 1
         self.token = [b""] * size
         for token, rank in self.ranks.items():
@@ -61,11 +66,11 @@ class Encoder:
             if merged(token, self.ranks) == [rank]:  # others are no result of merges
                 self.find.add_word(token.decode("latin-1"), rank)
         self.find.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def fit(self, left: int, right: int) -> bool:
-        pair = left, right
+        pair = left << 32 | right
         if (found := self.fits.get(pair)) is None:
             if len(self.fits) >= CACHED_PAIRS:
                 self.fits.clear()
@@ -75,11 +80,15 @@ class Encoder:
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
+        letters = piece.decode("latin-1")
+        ids = [rank for _, rank in self.find.iter_long(letters)]  # the longest token at each step
+        if all(map(self.fit, ids, ids[1:])):
+            return ids
         starts: list[list[int]] = [[] for _ in piece]
-        for end, rank in self.find.iter(piece.decode("latin-1")):
+        for end, rank in self.find.iter(letters):
             starts[end + 1 - len(self.token[rank])].append(rank)  # shorter ones come first
         given_up = bytearray(len(piece) + 1)
-        ids: list[int] = []
+        ids = []
         tried = [len(starts[0])]  # how many of the matches at each open position are left
         at = 0
         while at < len(piece):
@@ -100,14 +109,19 @@ class Encoder:
                 at -= len(self.token[ids.pop()])
         return ids
 
+    def __missing__(self, piece: str) -> bytes:
+        code = self.older.get(piece)
+        if code is None:
+            ids = self.encode_piece(piece.encode())
+            code = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = code
+        return code
+
     def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        if len(known) > CACHED_PIECES:
-            known.clear()
-        pieces = self.cut(text)
-        for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        if len(self) > CACHED_PIECES // 2:
+            self.older = dict(self)
+            self.clear()
+        return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), "<u4")
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 
 

@@ -28,7 +28,7 @@ from weft.llm.common import ship, table, text_of, without
 
 TRAIN_ROWS = 20_000
 TABLE_WORDS = 60_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 SWITCH = 14.0
 CLIP = 6.0
 UNDETERMINED = "und"
