@@ -34,19 +34,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(map(root, part), pa.int64())], ["node", "root"])
 
 
-def components(links: DataFrame, parts: int | None = None) -> DataFrame:
+#: Links that one task contracts.
+LINKS_A_TASK = 200_000
+
+
+def components(links: DataFrame, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     """node, label for each node of the links (columns a and b): one label for each component.
 
-    Each partition contracts its own links to stars; a node with several roots links
+    Each task contracts a bounded number of links to stars; a node with several roots links
     these, and the next round works on roots alone, of which there are fewer each
-    time. The labels of the rounds are then put one after another.
+    time. The labels of the rounds are then put one after another. So few links that
+    one task takes them need one round.
     """
     spark = links.sparkSession
     ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges, rounds = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), []
     while True:
-        stars = stored(edges.repartition(parts, F.least("a", "b")).mapInArrow(_forest, "node long, root long"), "stars")
+        parts = max(1, -(-edges.count() // links_a_task))
+        stars = stored(edges.repartition(parts).mapInArrow(_forest, "node long, root long"), "stars")
+        if parts == 1:
+            rounds.append(stars.withColumnRenamed("root", "label"))
+            break
         least = stars.groupBy("node").agg(F.min("root").alias("label"), F.max("root").alias("most"))
         rounds.append(stored(least.select("node", "label"), "labels"))
         unsettled = least.filter("label <> most").select("node", "label")
