@@ -162,6 +162,29 @@ def test_key_groups_on_any_batches():
         assert got == want, (rows, [b.num_rows for b in batches])
 
 
+def test_crossed_pairs_on_any_batches():
+    import pyarrow as pa
+
+    own = np.random.default_rng(6)
+    for _ in range(150):
+        n = int(own.integers(1, 16))
+        key, node = np.sort(own.integers(0, 4, n)), own.permutation(100)[:n]
+        label, size = own.integers(0, 3, n), own.integers(8, 12, n)
+        sketch = own.integers(0, 2, (n, 16)) * own.integers(0, 2, (n, 16))
+        batches, at = [], 0
+        while at < n:
+            end = at + int(own.integers(1, 6))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(key[at:end]), pa.array(node[at:end]), pa.array(label[at:end]), pa.array(size[at:end]), pa.array(sketch[at:end].tolist(), pa.list_(pa.int64()))], ["key", "node", "label", "n", "sketch"]))
+            at = end
+        got = sorted((r["a"], r["b"]) for b in jaccard_join._crossed(iter(batches)) for r in b.to_pylist())
+        want = []
+        for i, j in itertools.combinations(range(n), 2):
+            apart = sum(bin(x ^ y).count("1") for x, y in zip(sketch[i].tolist(), sketch[j].tolist()))
+            if key[i] == key[j] and label[i] != label[j] and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and 9 * apart <= size[i] + size[j]:
+                want.append((min(node[i], node[j]), max(node[i], node[j])))
+        assert got == sorted(want)
+
+
 def test_components(spark):
     own = random.Random(2)
     links = [(own.randrange(200), own.randrange(200)) for _ in range(150)]
