@@ -21,7 +21,7 @@ def register(add) -> None:
     add("N3_sampling_table", lambda x: V.running_share(vocab(x)).withColumn("upper", F.round("upper", 6)), f"WITH {WORDS} SELECT word, cnt, round(sum(pow(cnt, 0.75)) OVER (ORDER BY cnt DESC, word ROWS UNBOUNDED PRECEDING) / sum(pow(cnt, 0.75)) OVER (), 6) AS upper FROM w WHERE cnt >= 5")
     add("N4_subsampling", lambda x: vocab(x).crossJoin(F.broadcast(vocab(x).agg(F.sum("cnt").alias("total")))).select("word", F.round(V.keep_probability(F.col("cnt"), F.col("total"), 0.001), 6).alias("p")), f"WITH {WORDS}, v AS (SELECT * FROM w WHERE cnt >= 5), t AS (SELECT 0.001 * sum(cnt)::DOUBLE AS s FROM v) SELECT word, round(least(1.0, (sqrt(cnt / s) + 1) * s / cnt), 6) AS p FROM v CROSS JOIN t")
     add("N5_contexts", lambda x: V.contexts(x.table("documents"), 2).groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("docs")))
-    add("N5_full_window", lambda x: V.contexts(x.table("documents"), 1).groupBy("offset").agg(F.count(F.lit(1)).alias("n")).select(F.col("offset").cast("long").alias("offset"), "n"), "WITH d AS (SELECT len(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: w <> '')) AS k FROM documents) SELECT unnest([-1, 1]) AS \"offset\", sum(k - 1)::BIGINT AS n FROM d WHERE k > 1")
+    add("N5_full_window", lambda x: V.contexts(x.table("documents"), 1).groupBy("offset").agg(F.count(F.lit(1)).alias("n")).select(F.col("offset").cast("long").alias("offset"), "n"), "WITH d AS (SELECT len(list_filter(string_split(lower(coalesce(text, '')), ' '), lambda w: w <> '')) AS k FROM documents) SELECT unnest([-1, 1])::BIGINT AS \"offset\", sum(k - 1)::BIGINT AS n FROM d WHERE k > 1")
     add("N6_skip_gram", lambda x: V.train(x.table("documents"), V.ranked(vocab(x), 2000), dim=8))
     add("N7_cbow", lambda x: V.train(x.table("documents"), V.ranked(vocab(x), 2000), dim=8, cbow=True))
     queries = lambda x: x.table("embeddings").filter("vec_id % 50 = 0")
