@@ -36,12 +36,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line)}
 
 
-def merged(text: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """What BPE makes of a few bytes: join the neighbours of least rank, leftmost first."""
+def merged(text: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[int]:
+    """What BPE makes of a few bytes: join the neighbours of least rank, leftmost first, as far as ranks are below a limit."""
     parts = [text[i : i + 1] for i in range(len(text))]
     while len(parts) > 1:
-        best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-        if best == 1 << 60:
+        best, at = min((ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+        if best >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -62,8 +62,12 @@ class Encoder(dict):
             self.token[rank] = token
         self.decimal = [str(i).encode() for i in range(size)]
         self.find = ahocorasick.Automaton()
+        self.halves: dict[int, list[int]] = {}  # what a token's last merge joined; none for bytes
         for token, rank in self.ranks.items():
-            if merged(token, self.ranks) == [rank]:  # others are no result of merges
+            parts = merged(token, self.ranks, rank)
+            if len(parts) == 2:
+                self.halves[rank] = parts
+            if len(parts) == 2 or len(token) == 1:  # others are no result of merges
                 self.find.add_word(token.decode("latin-1"), rank)
         self.find.make_automaton()
         self.fits: dict[int, bool] = {}
@@ -74,9 +78,30 @@ class Encoder(dict):
         if (found := self.fits.get(pair)) is None:
             if len(self.fits) >= CACHED_PAIRS:
                 self.fits.clear()
-            found = self.fits[pair] = merged(self.token[left] + self.token[right], self.ranks) == [left, right]
+            found = self.fits[pair] = self.stay_apart(left, right)
         return found
 
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether BPE of two tokens' bytes never merges across their border.
+
+        Goes back through the merges that made the two: at each moment the border has a last
+        part of the left and a first part of the right token, which would have been
+        joined if that has a lesser rank than the merge that took either away. Of equal
+        ranks the merge farther left comes first.
+        """
+        left_until = right_until = 1 << 60
+        while True:
+            across = self.ranks.get(self.token[left] + self.token[right])
+            if across is not None and across < left_until and across <= right_until:
+                return False
+            a, b = self.halves.get(left), self.halves.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:  # the left token was made later
+                left_until, left = left, a[1]
+            else:
+                right_until, right = right, b[0]
+
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
