@@ -10,9 +10,9 @@ probability of 1 - 0.81^64, above 0.999998. What is retrieved is verified by exa
 containment: a window matches if it holds 80 % of the template's shingles.
 
 A band can collide only where the window holds the shingle that is the template's
-minimum in it. So only windows around such shingles are hashed, and only texts
-that hold a word of each of them are cut into words at all. Everything happens
-within the row: nothing is shuffled.
+minimum in it, so only windows around such shingles are hashed; and only texts
+that hold one of a few words, without which four fifths of no template can be there,
+are cut into words at all. Everything happens within the row: nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -68,22 +68,32 @@ class Templates:
         rows = rows.filter(F.size("words") > 0).select("name", "words", size.alias("n"), F.array_distinct(by_size).alias("shingles"), F.size(by_size).alias("length"))
         hashed = F.transform("shingles", lambda h: F.struct(h.alias("h"), F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(h, j)).alias("by_band")))
         self.classes: dict[tuple[int, int], list] = {}
-        self.shingle_words: list[list[str]] = []
+        self.shingle_words: list[list[list[str]]] = []
         for row in rows.select("*", minima(F.col("shingles")).alias("minima"), hashed.alias("hashed")).collect():  # as many as there are templates
             step = 1 << max(0, math.ceil(math.log2(row.length)))
             keys = [x.h for x in row.hashed if any(v == m for v, m in zip(x.by_band, row.minima))]
             self.classes.setdefault((row.n, step), []).append((row["name"], list(row.shingles), list(row.minima), keys))
             words = row.words
-            self.shingle_words += [words[i : i + row.n] for i in range(len(words) - row.n + 1)]
+            self.shingle_words.append([list(x) for x in {tuple(words[i : i + row.n]) for i in range(len(words) - row.n + 1)}])
 
     def anchors(self) -> list[str]:
-        """Words such that each shingle of a template holds one; the longest first, to be rare."""
-        left, found = [set(s) for s in self.shingle_words], []
-        while left:
-            names = {w for s in left for w in s}
-            best = max(names, key=lambda w: (sum(w in s for s in left) * len(w) ** 2, w))
-            found.append(best)
-            left = [s for s in left if best not in s]
+        """Words one of which every text with a match holds; long words first, since they are rare.
+
+        A match lacks at most a fifth of a template's shingles, so words that stand in one
+        more than that are enough.
+        """
+        left = [[set(x) for x in runs] for runs in self.shingle_words]
+        need = [len(runs) - math.ceil(len(runs) * LEAST / 100) + 1 for runs in left]
+        found: list[str] = []
+        while any(n > 0 for n in need):
+            gain: dict[str, int] = {}
+            for runs, n in zip(left, need):
+                for w in set().union(*runs) if n > 0 else ():
+                    gain[w] = gain.get(w, 0) + min(n, sum(w in x for x in runs)) * len(w) ** 2
+            found.append(max(gain, key=lambda w: (gain[w], w)))
+            for i, runs in enumerate(left):
+                need[i] -= sum(found[-1] in x for x in runs)
+                left[i] = [x for x in runs if found[-1] not in x]
         return found
 
 
