@@ -191,7 +191,20 @@ def _counts(rows: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
     return {(r.n, r.shingle & ((1 << 64) - 1)): r["count"] for r in totals.collect()}
 
 
-def _found(rows: DataFrame, join: Join) -> DataFrame:
+RAW = "id long, tie long, n_words long, spans array<long>, items array<string>"
+RESULT = "id long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _summed(ids: pa.Array, sizes: list[int], spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
+    """Rows of the result from spans, which may overlap, and items, which may come again."""
+    flat = [joined(list(zip(x[::2], x[1::2]))) for x in spans]
+    named = [sorted(set(x)) for x in items]
+    columns = [ids, pa.array(sizes, pa.int64()), pa.array([sum(x[1::2]) - sum(x[::2]) for x in flat], pa.int64()), pa.array(map(len, named), pa.int64())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string())], ["id", "n_words", "n_hit", "n_items", "items_sha256"])
+
+
+def _found(rows: DataFrame, join: Join, whole: bool) -> DataFrame:
+    """For each row what the block's windows hit: the result, if this block is the whole benchmark, or its parts."""
     sent = rows.sparkSession.sparkContext.broadcast(join)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,22 +216,18 @@ def _found(rows: DataFrame, join: Join) -> DataFrame:
                 sizes.append(len(words))
                 spans.append(joined(where))
                 items.append(sorted(set().union(*(join.windows.items[w] for w in windows))))
-            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "n_words", "spans", "items"])
+            if whole:
+                yield _summed(batch.column(0), sizes, spans, items)
+            else:
+                columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, "id long, tie long, n_words long, spans array<long>, items array<string>")
+    return rows.mapInArrow(run, RESULT if whole else RAW)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hit, items, digests = [], [], []
-        for spans, names in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            flat = joined(list(zip(spans[::2], spans[1::2])))
-            named = sorted(set(names))
-            hit.append(sum(flat[1::2]) - sum(flat[::2]))
-            items.append(len(named))
-            digests.append(hashlib.sha256(",".join(named).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(items, pa.int64()), pa.array(digests, pa.string())], ["id", "n_words", "n_hit", "n_items", "items_sha256"])
+        yield _summed(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -236,17 +245,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found: list[DataFrame] = []
     for block, last in _peek(_blocks(items)):
         windows = Windows.of(block)
-        one = _found(rows, Join(windows, _counts(rows, windows)))
-        found.append(one if last and not found else stored(one, "contamination"))
+        join = Join(windows, _counts(rows, windows))
+        if last and not found:
+            found.append(_found(rows, join, True))
+        else:
+            found.append(stored(_found(rows, join, False), "contamination"))
     if not found:
-        found = [_found(rows, Join(Windows([], []), {}))]
-    merged = found[0]
+        found = [_found(rows, Join(Windows([], []), {}), True)]
+    out = found[0]
     if len(found) > 1:  # as many lists for each row as there are blocks
         for one in found[1:]:
-            merged = merged.unionByName(one)
-        merged = merged.groupBy("id", "tie", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count(F.lit(1)).alias("n"))
-        merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int"))))
-    out = merged.select("id", "n_words", "spans", "items").mapInArrow(_united, "id long, n_words long, n_hit long, n_items long, items_sha256 string")
+            out = out.unionByName(one)
+        out = out.groupBy("id", "tie", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count(F.lit(1)).alias("n"))
+        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int"))))
+        out = out.select("id", "n_words", "spans", "items").mapInArrow(_united, RESULT)
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
     return out.withColumn("contaminated", contaminated).withColumnRenamed("id", id_col)
 
