@@ -59,19 +59,15 @@ def hasher() -> WordHasher:
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' distinct shingles, one text after another and in order, and how many each has."""
-    parts, rows = [], []
+    sizes, parts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)]
     for row, words in enumerate(hasher().words(texts)):
         if len(words):
-            parts.append(run_hashes(words, min(SHINGLE, len(words))))
-            rows.append(np.full(len(parts[-1]), row, np.int64))
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    shingles, row = np.concatenate(parts), np.concatenate(rows)
-    order = np.lexsort((shingles, row))
-    shingles, row = shingles[order], row[order]
-    first = np.ones(len(shingles), bool)
-    first[1:] = (shingles[1:] != shingles[:-1]) | (row[1:] != row[:-1])
-    return shingles[first], np.bincount(row[first], minlength=len(texts))
+            found = np.sort(run_hashes(words, min(SHINGLE, len(words))))
+            first = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=first[1:])
+            parts.append(found[first])
+            sizes[row] = len(parts[-1])
+    return np.concatenate(parts), sizes
 
 
 def size_bounds(most: int) -> list[int]:
