@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, table, text_of
+from weft.llm.common import released, ship, table, text_of
 from weft.llm.pretokenize import cutter
 
 #: What a worker remembers: small enough to stay beside the JVM when later stages run in it.
@@ -180,7 +180,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())], ["id", "token_ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, token_ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, token_ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,7 +199,7 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def tokenised(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, stored
+from weft.llm.common import released, ship, stored
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def components(links: DataFrame, links_a_task: int = LINKS_A_TASK) -> DataFrame:
     edges, rounds = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), []
     while True:
         parts = max(1, -(-edges.count() // links_a_task))
-        stars = stored(edges.repartition(parts).mapInArrow(_forest, "node long, root long"), "stars")
+        stars = stored(edges.repartition(parts).mapInArrow(released(_forest), "node long, root long"), "stars")
         if parts == 1:
             rounds.append(stars.withColumnRenamed("root", "label"))
             break

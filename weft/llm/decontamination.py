@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, stored, table, text_of, without
+from weft.llm.common import released, ship, stored, table, text_of, without
 from weft.llm.hashing import WordHasher, byte_table, run_hashes
 
 WINDOW = 13
@@ -187,7 +187,7 @@ def _counts(rows: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
             some = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.int32()), pa.array(lookups[n].wanted[some].view(np.int64)), pa.array(found[some])], ["n", "shingle", "count"])
 
-    totals = rows.mapInArrow(run, "n int, shingle long, count long").groupBy("n", "shingle").agg(F.sum("count").alias("count"))
+    totals = rows.mapInArrow(released(run), "n int, shingle long, count long").groupBy("n", "shingle").agg(F.sum("count").alias("count"))
     return {(r.n, r.shingle & ((1 << 64) - 1)): r["count"] for r in totals.collect()}
 
 
@@ -222,7 +222,7 @@ def _found(rows: DataFrame, join: Join, whole: bool) -> DataFrame:
                 columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "n_words", "spans", "items"])
 
-    return rows.mapInArrow(run, RESULT if whole else RAW)
+    return rows.mapInArrow(released(run), RESULT if whole else RAW)
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             out = out.unionByName(one)
         out = out.groupBy("id", "tie", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count(F.lit(1)).alias("n"))
         out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int"))))
-        out = out.select("id", "n_words", "spans", "items").mapInArrow(_united, RESULT)
+        out = out.select("id", "n_words", "spans", "items").mapInArrow(released(_united), RESULT)
     contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
     return out.withColumn("contaminated", contaminated).withColumnRenamed("id", id_col)
 

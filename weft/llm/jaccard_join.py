@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, stored, table, text_of, without
+from weft.llm.common import released, ship, stored, table, text_of, without
 from weft.llm.components import components
 from weft.llm.hashing import WordHasher, byte_table, constants, mix, run_hashes
 
@@ -265,14 +265,14 @@ class _Join:
         ship(self.spark)
         self.rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
         schema = "id long, n long, node long, check long, sketch array<long>, keys array<long>"
-        self.profiles = stored(self.rows.mapInArrow(_profiles, schema), "profiles")
+        self.profiles = stored(self.rows.mapInArrow(released(_profiles), schema), "profiles")
         classes = self.profiles.filter("n > 0").groupBy("node", "n", "check").agg(F.min("id").alias("class_id"))
         self.classes = stored(classes, "classes")
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         rows = rows.repartition(self.parts, "key").sortWithinPartitions("key", "node")
-        return stored(rows.mapInArrow(_key_groups, "key long, node long, before long"), "keys")
+        return stored(rows.mapInArrow(released(_key_groups), "key long, node long, before long"), "keys")
 
     def described(self, nodes: DataFrame) -> DataFrame:
         """node, n, sketch of some nodes."""
@@ -292,7 +292,7 @@ class _Join:
         flags = bytearray(bits // 8)
         for row in marked.collect():  # bits / 8 bytes at most
             flags[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.flags
-        found = self.rows.select("id", "text", place.alias("h")).mapInArrow(_sets(bytes(flags), bits), "id long, shingles binary")
+        found = self.rows.select("id", "text", place.alias("h")).mapInArrow(released(_sets(bytes(flags), bits)), "id long, shingles binary")
         # repeated ids bring one set more than once
         return stored(found.join(needed, "id").select("node", "shingles").dropDuplicates(["node"]), "sets")
 
@@ -300,7 +300,7 @@ class _Join:
         """The pairs (a, b) whose sets link."""
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+        return stored(both.select("a", "b", "x", "y").mapInArrow(released(_verified), "a long, b long"), "links")
 
     def neighbours(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes that follow each other in a key, as far as size and sketch allow."""
@@ -326,7 +326,7 @@ class _Join:
                 rows = rows.filter(F.col("size") <= BLOCK).select("key", "node", "label").unionByName(blocks)
             else:
                 rows = rows.filter(F.col("size") <= BLOCK).select("key", "node", "label")
-            pairs = rows.join(nodes, "node").select("key", "node", "label", "n", "sketch").repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(_crossed, "a long, b long")
+            pairs = rows.join(nodes, "node").select("key", "node", "label", "n", "sketch").repartition(self.parts, "key").sortWithinPartitions("key").mapInArrow(released(_crossed), "a long, b long")
             found = pairs if found is None else found.unionByName(pairs)
             if last:
                 break

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, table, text_of, without
+from weft.llm.common import released, ship, table, text_of, without
 
 TRAIN_ROWS = 20_000
 TABLE_WORDS = 60_000
@@ -118,7 +118,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield flush()
         yield flush()
 
-    counts = chosen.select(text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "word string, lang string, n long")
+    counts = chosen.select(text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(released(run), "word string, lang string, n long")
     counts = counts.groupBy("word", "lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(TABLE_WORDS)
     return Model([(r.word, r.lang, r.n) for r in counts.collect()])
 
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score, pa.float64()), pa.array(spans)], ["id", "lang_pred", "score", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, lang_pred string, score double, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), "id long, lang_pred string, score double, spans string").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, least: float = MIN_SCORE, id_col: str = "doc_id") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import ship, table, text_of
+from weft.llm.common import released, ship, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 32
@@ -208,7 +208,7 @@ def count_codes(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
                 seen.update(x[4] for x in coded(text.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["code", "n"])
 
-    rows = docs.select(text_of(text_col).alias("text")).mapInArrow(run, "code long, n long")
+    rows = docs.select(text_of(text_col).alias("text")).mapInArrow(released(run), "code long, n long")
     return {r.code: r.n for r in rows.groupBy("code").agg(F.sum("n").alias("n")).collect()}  # at most 2 * 4 * 3^6 rows
 
 
@@ -236,7 +236,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), schema).withColumnRenamed("id", id_col)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

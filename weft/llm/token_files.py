@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import new_path, ship, table, text_of
+from weft.llm.common import new_path, released, ship, table, text_of
 from weft.llm.pretokenize import cutter
 
 BLOCK_IDS = 1 << 16
@@ -173,7 +173,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(_blocks(tokenizer, pattern, end_id), BLOCKS).write.parquet(f"{path}/blocks")
+    rows.mapInArrow(released(_blocks(tokenizer, pattern, end_id)), BLOCKS).write.parquet(f"{path}/blocks")
     counts = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n"))
     table_of_parts, start = [], 0
     for row in sorted(counts.collect()):
@@ -209,7 +209,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     ship(spark)
     rows = _with_starts(spark, path).select("start", "n_ids", "bits", "doc_ids", "offsets", "payload")
-    return rows.mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(released(_documents), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_range(spark: SparkSession, path: str, start: int, stop: int) -> np.ndarray:
