@@ -28,7 +28,7 @@ from weft.llm.common import new_path, released, ship, table, text_of
 from weft.llm.pretokenize import cutter
 
 BLOCK_IDS = 1 << 16
-CACHED_PIECES = 600_000
+CACHED_PIECES = 400_000
 BLOCKS = "part int, block long, first long, n_ids long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
 VOCABULARY = "byte_bpe_50k.json"
 
