@@ -195,6 +195,23 @@ def test_training_brings_companions_together(spark):
         assert near("sun", "moon") > near("sun", "crab") and near("fish", "whale") > near("star", "whale")
 
 
+@pytest.mark.parametrize("cbow", [False, True])
+def test_training_pairs_words_across_steps(spark, cbow):
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 8192 + ["b"]))], "doc_id long, text string")
+    vec = {r.word: np.array(r.vec) for r in embedding.train(docs, embedding.ranked(embedding.vocabulary(docs), 2), dim=8, cbow=cbow).collect()}
+    start = np.random.default_rng(1).uniform(-0.5 / 8, 0.5 / 8, (2, 8))
+    assert not np.allclose(vec["b"], start[1])
+
+
+@pytest.mark.parametrize("name", ["N6_skip_gram", "N7_cbow"])
+def test_every_frequent_word_has_a_vector(spark, tmp_path, name):
+    from weft.plans import registry
+
+    docs = spark.createDataFrame([(d, " ".join(f"w{i}" for i in range(d % 2, 5000, 2))) for d in range(10)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES[name](spark, str(tmp_path)).select("word").distinct().count() == 5000
+
+
 def test_senses():
     centres, counts = np.array([[1.0, 0.0], [0.0, 1.0]]), np.array([1, 1])
     chosen, _, _ = embedding.choose_senses(np.array([[2.0, 0.1], [0.0, 3.0]]), centres.copy(), counts.copy(), "dot")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ def vocabulary(docs: DataFrame, text: str = "text", least: int = 1, stop_words:
     return out.filter(~F.col("word").isin(stop_words)) if stop_words else out
 
 
-def ranked(vocab: DataFrame, size: int) -> DataFrame:
-    """The most frequent words with their places from 0, equals by the word."""
+def ranked(vocab: DataFrame, size: int | None = None) -> DataFrame:
+    """The most frequent words (all, if no size is given) with their places from 0, equals by the word."""
+    if size is None:
+        return numbered(vocab.select("word", "cnt"), [F.desc("cnt"), F.col("word")], "id")
     top = vocab.orderBy(F.desc("cnt"), "word").limit(size)
     return top.select("word", "cnt", (F.row_number().over(W.orderBy(F.desc("cnt"), "word")) - 1).alias("id"))
 
@@ -102,24 +105,28 @@ def _add(weights: np.ndarray, words: np.ndarray, steps: np.ndarray) -> None:
 def train(docs: DataFrame, vocab: DataFrame, dim: int = 16, window: int = 2, negatives: int = 5, rate: float = 0.05, epochs: int = 1, cbow: bool = False, seed: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """word, vec: skip-gram (or CBOW) with negatives; partitions train copies, which are averaged after each epoch.
 
-    vocab: the bounded word list of ranked(). The weights are sent with each epoch, so
-    that the list's size times dim is what a task holds twice; texts stay where they
-    are. With the same partitions and seed the result is the same.
+    vocab: the word list of ranked(). The weights are sent with each epoch, so that the
+    list's size times dim is what a task holds four times (inputs and outputs, sent and
+    trained); texts stay where they are, and of the weights only those that a partition
+    changed go back. Windows reach through the whole text, which is trained on in steps
+    of 4096 words. With the same partitions and seed the result is the same.
     """
     spark = docs.sparkSession
-    known = [(r.word, r.cnt) for r in vocab.orderBy("id").collect()]
-    place = {w: i for i, (w, _) in enumerate(known)}
-    share = np.cumsum(np.array([c for _, c in known], float) ** 0.75)
+    known = vocab.select("id", "word", "cnt").toArrow().sort_by("id")
+    place = {w: i for i, w in enumerate(known["word"].to_pylist())}
+    share = np.cumsum(known["cnt"].to_numpy().astype(float) ** 0.75)
     share /= share[-1] if len(share) else 1
     draw = np.random.default_rng(seed)
     inputs, outputs = draw.uniform(-0.5 / dim, 0.5 / dim, (len(known), dim)), np.zeros((len(known), dim))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
 
+    words = spark.sparkContext.broadcast((place, share))
     for epoch in range(epochs):
-        sent = spark.sparkContext.broadcast((place, share, inputs, outputs))
+        sent = spark.sparkContext.broadcast((inputs, outputs))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            place, share, first, second = sent.value
+            place, share = words.value
+            first, second = sent.value
             a, b, seen = first.copy(), second.copy(), 0
             for batch in batches:
                 for key, body in zip(batch.id, batch.text):
@@ -132,27 +139,35 @@ def train(docs: DataFrame, vocab: DataFrame, dim: int = 16, window: int = 2, neg
                         part = ids[at : at + 4096]
                         reach = own.integers(1, window + 1, len(part))
                         offsets = np.array([d for d in range(-window, window + 1) if d])
-                        near = np.arange(len(part))[:, None] + offsets
-                        good = (near >= 0) & (near < len(part)) & (np.abs(offsets) <= reach[:, None])
+                        near = np.arange(at, at + len(part))[:, None] + offsets
+                        good = (near >= 0) & (near < len(ids)) & (np.abs(offsets) <= reach[:, None])
                         if cbow:
-                            centre = np.where(good, part[np.clip(near, 0, len(part) - 1)], -1)
+                            centre = np.where(good, ids[np.clip(near, 0, len(ids) - 1)], -1)
                             some = good.any(1)
                             centre, context = centre[some], part[some]
                         else:
                             i, j = np.nonzero(good)
-                            centre, context = part[i], part[near[i, j]]
+                            centre, context = part[i], ids[near[i, j]]
                         if len(context):
                             draws = np.searchsorted(share, own.random((len(context), negatives)))
                             train_kernel(a, b, centre, context, np.minimum(draws, len(share) - 1), rate, cbow)
             if seen:
-                yield pd.DataFrame({"id": np.arange(len(a)), "weight": float(seen), "a": list(a * seen), "b": list(b * seen)})
+                yield pd.DataFrame({"id": [-1], "weight": [float(seen)], "a": [np.zeros(dim)], "b": [np.zeros(dim)]})
+                moved = np.flatnonzero((a != first).any(1) | (b != second).any(1))
+                for at in range(0, len(moved), 8192):
+                    own = moved[at : at + 8192]
+                    yield pd.DataFrame({"id": own, "weight": 0.0, "a": list((a[own] - first[own]) * seen), "b": list((b[own] - second[own]) * seen)})
 
         parts = rows.mapInPandas(run, "id long, weight double, a array<double>, b array<double>")
         add = lambda c: F.array(*(F.sum(F.col(c)[i]) for i in range(dim)))
-        for r in parts.groupBy("id").agg(F.sum("weight").alias("w"), add("a").alias("a"), add("b").alias("b")).collect():
-            inputs[r.id], outputs[r.id] = np.array(r.a) / r.w, np.array(r.b) / r.w
-    out = [(w, [float(x) for x in inputs[i]]) for i, (w, _) in enumerate(known)]
-    return spark.createDataFrame(out, "word string, vec array<double>")
+        sums = parts.groupBy("id").agg(F.sum("weight").alias("w"), add("a").alias("a"), add("b").alias("b")).toArrow().combine_chunks().sort_by("id")
+        if sums.num_rows:
+            moved, total = sums["id"].to_numpy()[1:], sums["w"][0].as_py()
+            for weights, name in ((inputs, "a"), (outputs, "b")):
+                weights[moved] += sums[name].combine_chunks().flatten().to_numpy().reshape(-1, dim)[1:] / total
+        sent.unpersist()
+    vectors = pa.ListArray.from_arrays(np.arange(0, inputs.size + 1, dim, dtype=np.int32), inputs.ravel())
+    return spark.createDataFrame(pa.table({"word": known["word"], "vec": vectors}), "word string, vec array<double>")
 
 
 def choose_senses(vectors: np.ndarray, centres: np.ndarray, counts: np.ndarray, how: str, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
