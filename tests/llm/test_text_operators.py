@@ -286,6 +286,34 @@ def test_cutter_equals_the_pattern():
         assert cut(t) == whole(t)
 
 
+def test_token_files_know_added_tokens(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n  y ", "<|endoftext <|endoftext|", "plain", "日本 <|endoftext|> é  ", None]
+    tokenizer = Tokenizer.from_file(P.path(token_files.VOCABULARY))
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert ids[0] == [64, 220, 50256, 275, 0]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_files(rows, f"file://{tmp_path}/a", P.path(token_files.VOCABULARY), P.PATTERN, parts=2)
+    got = table(token_files.read_digests(spark, f"file://{tmp_path}/a"), "doc_id", "start", "n_tokens", "ids_crc32")
+    want = [(i, sum(map(len, ids[:i])), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    assert sorted(got) == want
+    every = [i for x in ids for i in x]
+    assert token_files.read_range(spark, f"file://{tmp_path}/a", 0, len(every)).tolist() == every
+
+
+@pytest.mark.parametrize("flag", ["lstrip", "rstrip", "single_word"])
+def test_added_tokens_with_flags_go_to_the_library(tmp_path, flag):
+    from tokenizers import AddedToken, Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path(token_files.VOCABULARY))
+    tokenizer.add_special_tokens([AddedToken("<end>", **{flag: True})])
+    tokenizer.save(f"{tmp_path}/t.json")
+    pieces = token_files.Pieces(f"{tmp_path}/t.json", P.PATTERN)
+    for text in ("a <end> b", "a<end>b", "<|endoftext|> <end>"):
+        assert pieces.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 

@@ -15,6 +15,7 @@ at bit i * bits: a reader needs no earlier id to unpack a range.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -79,6 +80,10 @@ class Pieces(dict):
     so the ids of a text are those of its pieces, and the library's model is asked
     for each piece that isn't known. Half of the memory is renewed when it is full:
     pieces met since the last renewal stay.
+
+    Added tokens ('<|endoftext|>') come first, as in the library: a text is split at
+    them, and the pattern cuts the stretches between. Where a token also takes
+    spaces or whole words alone, texts that may hold one are left to the library.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -91,6 +96,11 @@ class Pieces(dict):
         self.letters = byte_letters()
         self.tokenize = self.tokenizer.model.tokenize
         self.older: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items() if t.content}
+        self.simple = self.tokenizer.normalizer is None and len({t.normalized for t in added.values()}) < 2 and not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        #: The leftmost token and of those the longest.
+        self.split = re.compile("(%s)" % "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))).split
 
     def __missing__(self, piece: str) -> bytes:
         code = self.older.get(piece)
@@ -104,6 +114,11 @@ class Pieces(dict):
         if len(self) > CACHED_PIECES // 2:
             self.older = dict(self)
             self.clear()
+        if any(t in text for t in self.added):
+            if not self.simple:
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            parts = self.split(text)  # stretches at even places, tokens between
+            return np.frombuffer(b"".join(self.added[x] if i % 2 else b"".join(map(self.__getitem__, self.cut(x))) for i, x in enumerate(parts)), "<u4")
         return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), "<u4")
 
 
