@@ -7,6 +7,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -104,31 +105,45 @@ def shingles(t):
 
 
 def brute_components(rows):
-    sets = [shingles(t) for _, t in rows]
-    label = list(range(len(rows)))
+    """(id, set size, component, links) of each row."""
+    sets = [shingles(t or "") for _, t in rows]
+    label, links = list(range(len(rows))), [0] * len(rows)
     for a, b in itertools.combinations(range(len(rows)), 2):
         x, y = sets[a], sets[b]
         if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            links[a] += 1
+            links[b] += 1
             old, new = label[b], label[a]
             label = [new if k == old else k for k in label]
     best = {}
     for (i, _), k in zip(rows, label):
         if i is not None:
             best[k] = min(best.get(k, i), i)
-    return [(i, len(s), i if not s else best.get(k, i)) for (i, _), s, k in zip(rows, sets, label)]
+    return [(i, len(s), i if not s else best.get(k, i), n) for (i, _), s, k, n in zip(rows, sets, label, links)]
 
 
-def test_jaccard_join(docs, empty):
-    got = table(jaccard_join.jaccard_join(docs), "doc_id", "n_shingles", "component_id")
+JOINED = ("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_jaccard_join(docs, empty, exact):
+    got = table(jaccard_join.jaccard_join(docs, exact=exact), *JOINED)
     assert got == sorted(brute_components(said(docs)), key=lambda r: [key(x) for x in r])
-    assert jaccard_join.jaccard_join(empty).collect() == []
+    assert jaccard_join.jaccard_join(empty, exact=exact).collect() == []
 
 
-@pytest.mark.parametrize("block", [4096, 2])
-def test_jaccard_join_over_many_near_copies(spark, monkeypatch, block):
-    """Families of near copies that share a passage; with a small block, large keys are split."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    own, rows = random.Random(3), []
+def test_jaccard_join_links_over_rows_without_id(spark):
+    rows = [(None, near(0)), (4, near(1)), (9, near(2)), (None, "other"), (3, None)]
+    got = table(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), *JOINED)
+    assert got == sorted(brute_components(rows), key=lambda r: [key(x) for x in r])
+    named = [(i if i is None else f"n{i}", t) for i, t in rows]
+    got = table(jaccard_join.jaccard_join(spark.createDataFrame(named, "doc_id string, text string")), *JOINED)
+    assert got == sorted(brute_components(named), key=lambda r: [key(x) for x in r])
+
+
+def families(seed=3):
+    """Near copies that share a passage."""
+    own, rows = random.Random(seed), []
     passage = [f"p{i}" for i in range(10)]
     for family in range(6):
         base = passage + [f"f{family}w{own.randrange(40)}" for _ in range(30 if family < 4 else 8)]
@@ -137,10 +152,61 @@ def test_jaccard_join_over_many_near_copies(spark, monkeypatch, block):
             for i in own.sample(range(len(words)), own.randrange(3)):
                 words[i] = f"q{own.randrange(10_000)}"
             rows.append((len(rows), " ".join(words)))
-    got = table(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    return rows
+
+
+@pytest.mark.parametrize("block, links, exact", [(4096, 1024, False), (2, 3, False), (4096, 5, True)])
+def test_jaccard_join_over_many_near_copies(spark, monkeypatch, block, links, exact):
+    """With small blocks, large keys and components are split."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", links)
+    rows = families()
+    got = table(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), exact=exact), *JOINED)
+    assert got == sorted(brute_components(rows))
+
+
+def test_exact_join_at_the_threshold(spark):
+    """Pairs that just link or just don't, of all small sizes: nothing hangs on a probability."""
+    rows = []
+    for n in range(1, 26):
+        base = [f"s{n}w{i}" for i in range(n + 4)]
+        for cut in range(4):
+            rows.append((len(rows), " ".join(base[cut:])))
+    got = table(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), exact=True), *JOINED)
     assert got == sorted(brute_components(rows))
 
 
+def test_intersections_by_any_way():
+    own = np.random.default_rng(4)
+    for _ in range(60):
+        most = int(own.integers(2, 400))
+        sides = []
+        for _ in "ab":
+            sets = [np.unique(own.integers(0, most, own.integers(1, 60)).astype(np.uint64)) for _ in range(own.integers(1, 40))]
+            sides.append((sets, np.concatenate(sets), np.array([len(x) for x in sets])))
+        got = jaccard_join.intersections(*sides[0][1:], *sides[1][1:])
+        assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sides[1][0]] for x in sides[0][0]]
+
+
+def test_rows_not_ids_decide_what_stays(spark):
+    """Repeated and null ids, columns named like the library's own: each filter drops rows alone."""
+    schema = "doc_id long, text string, _row string, _gone long, file string, place long, id long, lang string"
+    texts = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "entirely other unique text"), (None, "a  b c d e f"), (None, "zz y"), (3, "zz y"), (3, "zz y"), (5, None), (5, "")]
+    rows = [(i, t, "r", 1, "f", 2, 3, "en") for i, t in texts]
+    docs = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame([(1, "zz y")], "item_id long, text string")
+    stay = lambda df: sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: [key(x) for x in r])
+    assert stay(exact_dedup.drop_copies(docs)) == [(2, "entirely other unique text"), (3, "zz y"), (5, ""), (None, "a  b c d e f")]
+    assert stay(jaccard_join.drop_near_copies(docs)) == [(1, "a b c d e f"), (2, "entirely other unique text"), (3, "zz y"), (5, ""), (5, "")]
+    clean = [(1, "a b c d e f"), (2, "a b c d e f"), (2, "entirely other unique text"), (5, ""), (5, ""), (None, "a  b c d e f")]
+    assert stay(decontamination.drop_contaminated(docs, items)) == clean
+    mixed = spark.createDataFrame([(100, "123", "en"), (100, "the house and river", "en"), (None, "!", None), (None, "the house", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    assert stay(language.keep_identified(mixed)) == [(100, "the house and river"), (None, "the house")]
+    for drop in (exact_dedup.drop_copies, jaccard_join.drop_near_copies, language.keep_identified, lambda d: decontamination.drop_contaminated(d, items)):
+        kept = drop(docs.limit(0))
+        assert kept.columns == docs.columns and kept.collect() == []
+
+
 def test_key_groups_on_any_batches():
     import pyarrow as pa
 
@@ -228,12 +294,13 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     want.sort(key=lambda r: [key(x) for x in r])
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert table(decontamination.contamination(docs, rows), *columns) == want
-    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 30)  # the benchmark in several blocks
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)  # nothing of the benchmark is broadcast
+    monkeypatch.setattr(decontamination, "BITS", 1 << 15)
     assert table(decontamination.contamination(docs, rows), *columns) == want
     assert decontamination.contamination(empty, rows).collect() == []
     assert not any(r.contaminated for r in decontamination.contamination(docs, rows.limit(0)).collect())
     kept = decontamination.drop_contaminated(docs, rows)
-    assert {r.doc_id for r in kept.collect()} == {r[0] for r in want if not r[5]} and kept.columns == docs.columns
+    assert sorted(map(key, (r.doc_id for r in kept.collect()))) == sorted(key(r[0]) for r in want if not r[5]) and kept.columns == docs.columns
 
 
 def test_word_hashes_do_not_hang_on_blocks(monkeypatch):
@@ -492,18 +559,72 @@ def test_best_paths_of_trees(spark):
     assert table(chat.best_paths(messages), "tree", "node", "depth") == sorted(want)
 
 
+def has_letter(t):
+    return any(unicodedata.category(c)[0] == "L" for c in t)
+
+
 def test_language(spark, docs, empty):
     model = language.learn(docs)
-    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
-    assert set(model.languages) <= {"en", "fr"}
-    for i, t in said(docs):
-        letters = re.search(r"[^\W\d_]", t)
-        assert (got[i].lang_pred == "und") == (not letters or not model.languages)
-        assert 0 <= got[i].score <= 1
+    found = language.identify(docs, model).collect()
+    rows = sorted(said(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted(found, key=lambda r: (r.doc_id is not None, r.doc_id or 0))  # rows with one id have one text
+    assert set(model.languages) <= {"en", "fr"} and len(got) == len(rows)
+    for (i, t), r in zip(rows, got):
+        assert r.doc_id == i and (r.lang_pred == "und") == (not has_letter(t) or not model.languages)
+        assert 0 <= r.score <= 1 and (r.score == 0) == (r.lang_pred == "und")
     assert language.identify(empty, model).collect() == []
     assert {r.lang_pred for r in language.identify(docs, language.Model([])).collect()} == {"und"}
 
 
+def test_words_are_letters_of_one_script():
+    own = random.Random(2)
+    for _ in range(2000):
+        t = "".join(own.choice("ab Zéµª½²Ⅷ٣ß÷×0_-.Жжλ漢字カな한e\u0301क्षि\u0300") for _ in range(own.randrange(40))).lower()
+        words, starts = language.words_of(t), language.starts_of(t)
+        assert [t[a : a + len(w)] for a, w in zip(starts, words)] == words and len(starts) == len(words)
+        left = "".join(c for i, c in enumerate(t) if not any(a <= i < a + len(w) for a, w in zip(starts, words)))
+        assert not has_letter(left)
+        for w in words:
+            letters = [c for c in w if unicodedata.category(c)[0] == "L"]
+            assert unicodedata.category(w[0])[0] == "L" and {unicodedata.category(c)[0] for c in w} <= {"L", "M"}
+            assert len({language.script_of(c) for c in letters}) == 1
+    assert list(map(len, language.words_of("a" * 150))) == [64, 64, 22]
+    assert list(map(len, language.words_of("ж" * 130 + "b"))) == [64, 64, 2, 1]
+
+
+def brute_label(model, text):
+    """What label() should say, by every path over the words."""
+    words = language.words_of(text.lower())
+    if not words:
+        return "und", 0.0
+    n, scores = len(model.languages), model.score(words)
+    best = max(itertools.product(range(n), repeat=len(words)), key=lambda p: (sum(scores[i, x] for i, x in enumerate(p)) - language.SWITCH * sum(a != b for a, b in zip(p, p[1:]))))
+    weight = [sum(len(w) for w, x in zip(words, best) if x == k) for k in range(n)]
+    top = weight.index(max(weight))
+    share = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+    return model.languages[top], sum(share[i, top] * len(w) for i, (w, x) in enumerate(zip(words, best)) if x == top) / sum(weight)
+
+
+def test_labels_and_scores_against_every_path(spark):
+    own, words = random.Random(1), {"en": ["the", "and", "house", "river"], "fr": ["le", "et", "maison", "rivière"], "el": ["και", "το", "σπίτι"]}
+    rows = [(i, " ".join(own.choices(words[x], k=40)), x) for i in range(60) for x in [("en", "fr", "el")[i % 3]]]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labeler = language.Labeler(model)
+    texts = [" ".join(own.choices(sum(words.values(), []), k=own.randrange(7))) for _ in range(40)]
+    texts += [" ".join(own.choices(words["en"], k=3) + own.choices(words["fr"], k=4)) for _ in range(40)]
+    texts += ["½ ²", "Ⅷ", "١٢٣", "", "thehouse" * 3, "the" * 30 + "rivièremaison" * 20, "housemaison και", "Ж漢"]
+    for t, (lang, score, _) in zip(texts, labeler.label(texts)):
+        want = brute_label(model, t)
+        assert lang == want[0] and abs(score - want[1]) < 1e-9
+
+
+def test_long_runs_are_scored_whole(spark):
+    rows = [(i, ("the and house " if i % 2 else "xyz zyx yxz ") * 20, "en" if i % 2 else "xx") for i in range(80)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.Labeler(model).label(["the" * 22 + "xyz" * 2000, "xyz" * 22 + "the" * 2000])
+    assert [r[0] for r in got] == ["xx", "en"]
+
+
 def test_language_spans_of_mixed_text(spark):
     own, words = random.Random(1), {"en": ["the", "and", "house", "river", "with"], "fr": ["le", "et", "maison", "rivière", "avec"], "el": ["και", "το", "σπίτι"]}
     rows = [(i, " ".join(own.choices(words[x], k=40)), x) for i in range(300) for x in [("en", "fr", "el")[i % 3]]]

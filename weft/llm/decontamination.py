@@ -2,38 +2,39 @@
 
 An item's windows are its runs of 13 words (a shorter item is one window). A
 window occurs in a document only if all its shingles do, so its rarest shingle in
-the corpus is a prefix that every match must hold. One pass over the corpus counts the
-benchmark's shingles, a second looks for the prefix shingles alone, places the
-window around each, drops those that don't fit into the document (length and
-position), and verifies the others word by word.
-
-The benchmark is sent to the executors in blocks of a bounded number of words,
-one block at a time, whatever its size; documents aren't shuffled.
+the corpus is a prefix that every match must hold. One scan of the corpus counts the
+benchmark's shingles, a second looks for the prefix shingles alone and takes the
+words around each. These are joined with the windows on the shingle; a window that doesn't fit
+into the document (length and position) is dropped, and the others are verified word by word.
+
+A scan knows the wanted shingles by a bit table of bounded size, so there are two scans
+whatever the benchmark's size, and what it lets through by chance is dropped by the
+joins. Documents aren't shuffled, only the places of prefixes.
 """
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, stored, table, text_of, without
+from weft.llm.common import BitTable, keyed, released, remove, ship, stored, table, text_of, type_of, without
 from weft.llm.hashing import WordHasher, byte_table, run_hashes
 
 WINDOW = 13
 SHINGLE = 5
-#: Words of the benchmark that are sent at once: 13 * 8 bytes for each, 52 MB at most.
-BLOCK_WORDS = 500_000
 #: A document is contaminated when one word in so many is hit.
 ONE_IN = 20
-SLOTS = 1 << 22
-STEP = 1 << 18
+#: Most bits of the table of wanted shingles: 64 MB.
+BITS = 1 << 29
+#: Windows that may be broadcast: their words and some numbers, 200 bytes each, 20 MB.
+BROADCAST_WINDOWS = 100_000
 
+_WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _HASHER: list[WordHasher] = []
 
 
@@ -43,239 +44,152 @@ def hasher() -> WordHasher:
     return _HASHER[0]
 
 
-class Lookup:
-    """Positions of wanted hashes: a bit table first, then a binary search."""
-
-    def __init__(self, wanted: np.ndarray):
-        self.wanted = np.unique(wanted)
-        self.slots = np.zeros(SLOTS, bool)
-        self.slots[(self.wanted & np.uint64(SLOTS - 1)).astype(np.int64)] = True
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where in hashes a wanted one is, and which."""
-        at = np.flatnonzero(self.slots[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)])
-        if not len(at):
-            return at, at
-        which = np.searchsorted(self.wanted, hashes[at])
-        good = self.wanted[np.minimum(which, len(self.wanted) - 1)] == hashes[at]
-        return at[good], which[good]
+def words_of(text: str) -> list[str]:
+    """The words that hasher() hashes, A-Z in lower case."""
+    return [w.decode() for w in _WORDS.findall(text.encode().lower())]
 
 
-@dataclass
-class Windows:
-    """One block of the benchmark: distinct windows of each length and their items."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (item, text) to (item, window, length, shingles): an item's distinct windows, their words and shingles in order."""
+    for batch in batches:
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words, (hashes,) = words_of(text), hasher().words([text.encode()])
+            size = min(WINDOW, len(words))
+            n = min(SHINGLE, size)
+            shingles = run_hashes(hashes, n).view(np.int64) if size else np.zeros(0, np.int64)
+            found = {" ".join(words[i : i + size]): i for i in range(len(words) - size + 1)} if size else {}
+            at = list(found.values())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([item] * len(at), pa.string()), pa.array(list(found), pa.string()), pa.array([size] * len(at), pa.int32()), pa.array([shingles[i : i + size - n + 1] for i in at], pa.list_(pa.int64()))],
+                ["item", "window", "length", "shingles"],
+            )
 
-    words: list[np.ndarray]  # for each distinct window its words
-    items: list[list[str]]  # for each distinct window its items
 
-    @staticmethod
-    def of(rows: list[tuple[str, str]]) -> Windows:
-        found: dict[bytes, set[str]] = {}
-        for (item, _), words in zip(rows, hasher().words([t.encode() for _, t in rows])):
-            size = min(WINDOW, len(words))
-            if size:
-                for row in np.unique(np.lib.stride_tricks.sliding_window_view(words, size), axis=0):
-                    found.setdefault(row.tobytes(), set()).add(item)
-        return Windows([np.frombuffer(k, np.uint64) for k in found], [sorted(v) for v in found.values()])
-
-    def shingles(self) -> dict[int, np.ndarray]:
-        """All shingles by their length: of five words, or the whole of a shorter window."""
-        out: dict[int, list[np.ndarray]] = {}
-        for w in self.words:
-            n = min(SHINGLE, len(w))
-            out.setdefault(n, []).append(run_hashes(w, n))
-        return {n: np.unique(np.concatenate(x)) for n, x in out.items()}
-
-
-class Join:
-    """The windows by their prefix shingles."""
-
-    def __init__(self, windows: Windows, counts: dict[tuple[int, int], int]):
-        self.windows = windows
-        self.by_length: dict[int, tuple] = {}
-        groups: dict[int, list[int]] = {}
-        for i, w in enumerate(windows.words):
-            groups.setdefault(len(w), []).append(i)
-        for length, numbers in groups.items():
-            n = min(SHINGLE, length)
-            prefix, offset = [], []
-            for i in numbers:
-                tokens = run_hashes(windows.words[i], n).tolist()
-                rarest = min(range(len(tokens)), key=lambda j: (counts.get((n, tokens[j]), 0), tokens[j], j))
-                prefix.append(tokens[rarest])
-                offset.append(rarest)
-            prefix = np.array(prefix, np.uint64)
-            lookup = Lookup(prefix)
-            order = np.argsort(prefix, kind="stable")
-            first = np.searchsorted(prefix[order], lookup.wanted)
-            size = np.diff(np.append(first, len(order)))
-            matrix = np.array([windows.words[i] for i in numbers], np.uint64).reshape(len(numbers), length)
-            self.by_length[length] = n, lookup, order, first, size, np.array(offset, np.int64), matrix, np.array(numbers, np.int64)
-
-    def occurrences(self, words: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
-        """(start, end) of windows that occur in a document, and the windows' numbers."""
-        spans: set[tuple[int, int]] = set()
-        seen: set[int] = set()
-        shingles: dict[int, np.ndarray] = {}
-        for length, (n, lookup, order, first, size, offset, matrix, numbers) in self.by_length.items():
-            if len(words) < length:
-                continue
-            if n not in shingles:
-                shingles[n] = run_hashes(words, n)
-            at, which = lookup.find(shingles[n])
-            if not len(at):
-                continue
-            ends = np.cumsum(size[which])
-            for low in range(0, int(ends[-1]), STEP):  # candidates in bounded steps
-                k = np.arange(low, min(low + STEP, int(ends[-1])))
-                hit = np.searchsorted(ends, k, "right")
-                window = order[first[which[hit]] + k - (ends[hit] - size[which[hit]])]
-                start = at[hit] - offset[window]
-                fits = (start >= 0) & (start + length <= len(words))
-                window, start = window[fits], start[fits]
-                for j in range(length):
-                    same = words[start + j] == matrix[window, j]
-                    window, start = window[same], start[same]
-                seen.update(numbers[np.unique(window)].tolist())
-                spans.update((s, s + length) for s in np.unique(start).tolist())
-        return sorted(spans), seen
-
-
-def joined(spans: list[tuple[int, int]]) -> list[int]:
-    """Disjoint spans, as start, end, start, end and so on."""
-    out: list[int] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items, so many at a time that BLOCK_WORDS holds; a longer item goes alone.
-
-    Rows with one item id are one item whichever block they are in: items are
-    united by name. An item without id is named "null".
-    """
-    held, size = [], 0
-    for row in benchmark.toLocalIterator():
-        n = len(row.text) // 2 + 1  # words are at least a letter and a separator
-        if held and size + n > BLOCK_WORDS:
-            yield held
-            held, size = [], 0
-        held.append((row.item, row.text))
-        size += n
-    if held:
-        yield held
-
-
-def _counts(rows: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    """How often each of the block's shingles occurs in the corpus; as many rows at most."""
-    wanted = rows.sparkSession.sparkContext.broadcast(windows.shingles())
+def _counts(sent, lengths: list[int]):
+    """Rows (text) to (shingle, count): how often wanted shingles occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookups = {n: Lookup(x) for n, x in wanted.value.items()}
-        counts = {n: np.zeros(len(x.wanted), np.int64) for n, x in lookups.items()}
+        wanted = sent.value
         for batch in batches:
-            for words in hasher().words([t.as_py().encode() for t in batch.column(1)]):
-                for n, lookup in lookups.items():
-                    _, which = lookup.find(run_hashes(words, n))
-                    if len(which):
-                        counts[n] += np.bincount(which, minlength=len(counts[n]))
-        for n, found in counts.items():
-            some = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array([n] * len(some), pa.int32()), pa.array(lookups[n].wanted[some].view(np.int64)), pa.array(found[some])], ["n", "shingle", "count"])
-
-    totals = rows.mapInArrow(released(run), "n int, shingle long, count long").groupBy("n", "shingle").agg(F.sum("count").alias("count"))
-    return {(r.n, r.shingle & ((1 << 64) - 1)): r["count"] for r in totals.collect()}
+            found = [np.zeros(0, np.uint64)]
+            for words in hasher().words([t.as_py().encode() for t in batch.column(0)]):
+                for n in lengths:
+                    hashes = run_hashes(words, n)
+                    found.append(hashes[wanted.find(hashes)])
+            shingles, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(count, pa.int64())], ["shingle", "count"])
 
+    return run
 
-RAW = "id long, tie long, n_words long, spans array<long>, items array<string>"
-RESULT = "id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
+HITS = "array<struct<prefix:long,at:long,first:long,around:array<string>>>"
 
-def _summed(ids: pa.Array, sizes: list[int], spans: list[list[int]], items: list[list[str]]) -> pa.RecordBatch:
-    """Rows of the result from spans, which may overlap, and items, which may come again."""
-    flat = [joined(list(zip(x[::2], x[1::2]))) for x in spans]
-    named = [sorted(set(x)) for x in items]
-    columns = [ids, pa.array(sizes, pa.int64()), pa.array([sum(x[1::2]) - sum(x[::2]) for x in flat], pa.int64()), pa.array(map(len, named), pa.int64())]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named], pa.string())], ["id", "n_words", "n_hit", "n_items", "items_sha256"])
 
+def _hits(sent, lengths: list[int]):
+    """Rows (id, text) to (id, row, n_words, hits): a number for the row, and where it may hold prefixes.
 
-def _found(rows: DataFrame, join: Join, whole: bool) -> DataFrame:
-    """For each row what the block's windows hit: the result, if this block is the whole benchmark, or its parts."""
-    sent = rows.sparkSession.sparkContext.broadcast(join)
+    Around a prefix are the words that a window may reach: those of the shingle alone if
+    it is shorter than SHINGLE, for then it is the whole window.
+    """
+    kind = pa.list_(pa.struct([("prefix", pa.int64()), ("at", pa.int64()), ("first", pa.int64()), ("around", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        join = sent.value
-        for batch in batches:
-            sizes, spans, items = [], [], []
-            for words in hasher().words([t.as_py().encode() for t in batch.column(1)]):
-                where, windows = join.occurrences(words)
-                sizes.append(len(words))
-                spans.append(joined(where))
-                items.append(sorted(set().union(*(join.windows.items[w] for w in windows))))
-            if whole:
-                yield _summed(batch.column(0), sizes, spans, items)
-            else:
-                columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "tie", "n_words", "spans", "items"])
-
-    return rows.mapInArrow(released(run), RESULT if whole else RAW)
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _summed(batch.column(0), *(batch.column(k).to_pylist() for k in (1, 2, 3)))
+        from pyspark import TaskContext
+
+        wanted, number = sent.value, TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                sizes, hits = [], []
+                for text, hashed in zip(batch.column(1), hasher().words([t.as_py().encode() for t in batch.column(1)])):
+                    sizes.append(len(hashed))
+                    own, words = [], None
+                    for n in lengths:
+                        hashes = run_hashes(hashed, n)
+                        found = wanted.find(hashes)
+                        if len(found):
+                            words = words_of(text.as_py()) if words is None else words
+                            back, on = (WINDOW - SHINGLE, WINDOW) if n == SHINGLE else (0, n)
+                            for prefix, at in zip(hashes[found].view(np.int64).tolist(), found.tolist()):
+                                first = max(0, at - back)
+                                own.append({"prefix": prefix, "at": at, "first": first, "around": words[first : at + on]})
+                    hits.append(own)
+                rows = pa.array(np.arange(number, number + len(sizes)))
+                number += len(sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0), rows, pa.array(sizes, pa.int64()), pa.array(hits, kind)], ["id", "row", "n_words", "hits"])
+
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, n_words, n_hit, n_items, items_sha256, contaminated; one row out for each row in.
 
     A null, empty or wordless text has no words and isn't contaminated; a null or
-    wordless item has no windows; rows with one item id are one item; ids pass through,
-    repeated and null ones too; without documents there are no rows; without items
-    nothing is hit. Only the named columns are read.
+    wordless item has no windows; rows with one item id are one item, and an item without id is
+    named "null"; ids pass through, of any type, repeated and null ones too; without documents
+    there are no rows; without items nothing is hit. Only the named columns are read.
     """
-    ship(docs.sparkSession)
-    text = text_of(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    spark, passing = docs.sparkSession, []
+    ship(spark)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), text_of(item_text_col).alias("text"))
-    found: list[DataFrame] = []
-    for block, last in _peek(_blocks(items)):
-        windows = Windows.of(block)
-        join = Join(windows, _counts(rows, windows))
-        if last and not found:
-            found.append(_found(rows, join, True))
-        else:
-            found.append(stored(_found(rows, join, False), "contamination"))
-    if not found:
-        found = [_found(rows, Join(Windows([], []), {}), True)]
-    out = found[0]
-    if len(found) > 1:  # as many lists for each row as there are blocks
-        for one in found[1:]:
-            out = out.unionByName(one)
-        out = out.groupBy("id", "tie", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.count(F.lit(1)).alias("n"))
-        out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(found)).cast("int"))))
-        out = out.select("id", "n_words", "spans", "items").mapInArrow(released(_united), RESULT)
-    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * ONE_IN >= F.col("n_words"))
-    return out.withColumn("contaminated", contaminated).withColumnRenamed("id", id_col)
-
-
-def _peek(blocks: Iterator) -> Iterator[tuple[object, bool]]:
-    """Each block, and whether it is the last."""
-    held = next(blocks, None)
-    while held is not None:
-        after = next(blocks, None)
-        yield held, after is None
-        held = after
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    gone = contamination(docs, benchmark, id_col).filter("contaminated").select(id_col)
-    return without(docs, gone, id_col)
+    made = stored(items.mapInArrow(released(_windows), "item string, window string, length int, shingles array<long>"), "windows", passing)
+    windows = made.select("window", "length", "shingles").dropDuplicates(["window"])
+    each = stored(windows.select("window", "length", F.posexplode("shingles").alias("offset", "shingle")), "shingles", passing)
+    lengths = sorted(min(SHINGLE, r.length) for r in made.select("length").distinct().collect())  # 13 at most
+    lengths = sorted(set(lengths))
+
+    wanted = spark.sparkContext.broadcast(BitTable.of(each.select("shingle").distinct(), "shingle", BITS))
+    counts = rows.select("text").mapInArrow(released(_counts(wanted, lengths)), "shingle long, count long")
+    counts = counts.groupBy("shingle").agg(F.sum("count").alias("count"))
+    counts = counts.join(each.select("shingle").distinct(), "shingle", "left_semi")  # without what the bit table let through
+    rarity = F.struct(F.coalesce("count", F.lit(0)), "shingle", "offset")
+    prefixes = each.join(counts, "shingle", "left").groupBy("window", "length").agg(F.min(rarity).alias("least"))
+    prefixes = stored(prefixes.select("window", "length", F.col("least.shingle").alias("prefix"), F.col("least.offset").alias("offset")), "prefixes", passing)
+
+    sent = spark.sparkContext.broadcast(BitTable.of(prefixes.select("prefix").distinct(), "prefix", BITS))
+    found = stored(rows.mapInArrow(released(_hits(sent, lengths)), f"id {type_of(docs, id_col)}, row long, n_words long, hits {HITS}"), "hits")
+    few = prefixes.count() <= BROADCAST_WINDOWS
+    places = found.filter(F.size("hits") > 0).select("row", "n_words", F.inline("hits"))
+    places = places.join(prefixes.hint("broadcast" if few else "merge"), "prefix").withColumn("start", F.col("at") - F.col("offset"))
+    places = places.filter("start >= 0 AND start + length <= n_words")
+    said = F.array_join(F.slice("around", (F.col("start") - F.col("first") + 1).cast("int"), F.col("length")), " ")
+    places = stored(places.filter(said == F.col("window")).select("row", "start", (F.col("start") + F.col("length")).alias("end"), "window"), "places", passing)
+
+    # spans in order; what a span adds to those before it
+    reach = F.aggregate(
+        F.array_sort("spans"),
+        F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n")),
+        lambda s, x: F.struct(F.greatest(s["end"], x["end"]).alias("end"), (s["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(s["end"], x["start"]))).alias("n")),
+    )
+    hit = places.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans")).select("row", reach["n"].alias("n_hit"))
+    owners = made.select("window", "item").distinct()
+    if few:
+        owners = owners.hint("broadcast" if owners.count() <= BROADCAST_WINDOWS else "merge")
+    named = places.select("row", "window").distinct().join(owners, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hit = stored(hit.join(named, "row"), "contamination")
+    remove(passing)
+    out = found.select("id", "row", "n_words").join(hit, "row", "left")
+    n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("long"), F.array().cast("array<string>")
+    own = F.coalesce("items", none)
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size(own).cast("long").alias("n_items"),
+        F.sha2(F.array_join(own, ","), 256).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * ONE_IN >= F.col("n_words"))).alias("contaminated"),
+    )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that aren't contaminated, with all their columns.
+
+    Rows are told apart by their place, so null and repeated ids are no matter.
+    """
+    docs, key = keyed(docs)
+    found = contamination(docs.select(F.col(key).alias("id"), F.col(text_col).alias("text")), benchmark, "id")
+    return without(docs, key, found.filter("contaminated").select("id"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,14 @@ different components are tried. A key with more than BLOCK nodes in several comp
 split by a second key before that, so there a pair with no other common key isn't tried: at the threshold,
 with a third of 48 keys agreeing, that has a probability below 1e-7. No other key holds an untried pair
 that could change a component.
+
+Links. Both ends of a link are in one component, so all links are counted within components:
+each is dealt out in pairs of blocks of bounded size, and the intersections of a pair of
+blocks are one product of 0/1 matrices over the shingles that both hold. What leaves a task
+is one count for each node, never a pair, and no link of a component is missed.
+
+`exact` joins on all parts of one split, also on those with one shingle or none, and never by a second key:
+then pigeonhole holds without exception, at the price of keys that whole size bands share.
 """
 
 from __future__ import annotations
@@ -34,10 +42,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, stored, table, text_of, without
+from weft.llm.common import keyed, released, remove, ship, stored, table, text_of, type_of, without
 from weft.llm.components import components
 from weft.llm.hashing import WordHasher, byte_table, constants, mix, run_hashes
 
@@ -46,6 +55,14 @@ PARTS = 48
 SKETCH_WORDS = 16
 #: Nodes of a key that one task compares with each other, and how often larger keys are split by another key.
 BLOCK, SPLITS = 4096, 2
+#: Names of nodes that may be broadcast: 40 bytes each in a hash table, 40 MB at most.
+BROADCAST_NODES = 1_000_000
+#: Documents whose keys one task takes.
+DOCS_A_TASK = 50_000
+#: Nodes and bytes of sets in a block when links are counted, and shingles in one product.
+LINK_BLOCK, LINK_BYTES, COLUMNS = 1024, 1 << 23, 2048
+#: Sets that a task remembers to have sent.
+SENT = 100_000
 #: Most bits of the table that tells which rows' sets are needed: 64 MB.
 NEEDED_BITS = 1 << 29
 _SALT = constants(11, 256)
@@ -82,7 +99,7 @@ def size_bounds(most: int) -> list[int]:
 BOUNDS = np.array(size_bounds(1 << 40), np.int64)
 
 
-def part_keys(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(shingles: np.ndarray, sizes: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(key, text's row): the sketch parts that texts are joined on, in both pairs of size bands."""
     band = np.searchsorted(BOUNDS, sizes, "right") - 1
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -91,21 +108,26 @@ def part_keys(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
         group = band + up
         high = BOUNDS[group + 1] - 1
         parts = 2 * high // 9 + 1  # one part: only equal sets link, and these are one node
-        turns = np.where((sizes > 0) & (parts > 1), -(-PARTS // parts), 0)
+        some = (sizes > 0) & (parts > 1)
+        turns = np.where(some, 1 if exact else -(-PARTS // parts), 0)
+        most = int(parts[some].max(initial=0)) if exact else PARTS
         for turn in range(int(turns.max(initial=0))):
             own = (turns > turn)[row]
             r = row[own]
             h = mix(shingles[own] ^ _SALT[turn])
             p = (h % parts[r].astype(np.uint64)).astype(np.int64)
-            used = p < PARTS
+            used = p < most
             r, p, h = r[used], p[used], mix(h[used])
-            slot = r * PARTS + p
-            value = np.zeros(len(sizes) * PARTS, np.uint64)
+            slot = r * most + p
+            value = np.zeros(len(sizes) * most, np.uint64)
             np.bitwise_xor.at(value, slot, h)
-            full = np.flatnonzero(np.bincount(slot, minlength=len(value)) >= 2)
-            tag = (group[full // PARTS] * 64 + turn) * PARTS + full % PARTS
+            if exact:
+                full = np.flatnonzero(some[:, None] & (np.arange(most) < parts[:, None]))
+            else:
+                full = np.flatnonzero(np.bincount(slot, minlength=len(value)) >= 2)
+            tag = ((group[full // most] * 64 + turn) << 40) + full % most
             keys.append(mix(value[full] ^ mix(tag.astype(np.uint64))))
-            rows.append(full // PARTS)
+            rows.append(full // most)
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -122,26 +144,41 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, whole.num_rows, 512):
-            batch = whole.slice(start, 512)
-            shingles, sizes = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
-            some, at = sizes > 0, np.cumsum(sizes) - sizes
-            node, check = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-            if some.any():
-                node[some] = mix(np.add.reduceat(mix(shingles), at[some]) ^ sizes[some].astype(np.uint64))
-                check[some] = np.bitwise_xor.reduceat(mix(shingles ^ _SALT[254]), at[some])
-            keys, rows = part_keys(shingles, sizes)
-            first = np.zeros(len(sizes), bool)
-            first[np.unique(node, return_index=True)[1]] = True  # a copy in the same batch brings no keys
-            keys, rows = keys[first[rows]], rows[first[rows]]
-            order = np.argsort(rows, kind="stable")
-            sketch = parity_sketches(shingles, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), _lists(sketch.ravel(), np.full(len(sizes), SKETCH_WORDS)), _lists(keys[order], np.bincount(rows, minlength=len(sizes)))],
-                ["id", "n", "node", "check", "sketch", "keys"],
-            )
+def marks_of(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set; 0 for empty ones."""
+    some, at = sizes > 0, np.cumsum(sizes) - sizes
+    mark, check = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    if some.any():
+        mark[some] = mix(np.add.reduceat(mix(shingles), at[some]) ^ sizes[some].astype(np.uint64))
+        check[some] = np.bitwise_xor.reduceat(mix(shingles ^ _SALT[254]), at[some])
+    return mark.view(np.int64), check.view(np.int64)
+
+
+def _profiles(exact: bool):
+    """Rows (id, text, h) to what is known of each: a number of its own, its set's size and marks, sketch and keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        step = 16 if exact else 512
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                shingles, sizes = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
+                mark, check = marks_of(shingles, sizes)
+                keys, rows = part_keys(shingles, sizes, exact)
+                first = np.zeros(len(sizes), bool)
+                first[np.unique(np.stack([mark, check], 1), axis=0, return_index=True)[1]] = True  # a copy in the same batch brings no keys
+                keys, rows = keys[first[rows]], rows[first[rows]]
+                order = np.argsort(rows, kind="stable")
+                sketch = parity_sketches(shingles, sizes)
+                columns = [pa.array(np.arange(number, number + len(sizes))), pa.array(sizes, pa.int64()), pa.array(mark), pa.array(check), batch.column(2)]
+                lists = [_lists(sketch.ravel(), np.full(len(sizes), SKETCH_WORDS)), _lists(keys[order], np.bincount(rows, minlength=len(sizes)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *lists], ["id", "row", "n", "mark", "check", "h", "sketch", "keys"])
+                number += len(sizes)
+
+    return run
 
 
 def _key_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,22 +271,114 @@ def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(table_of: bytes, bits: int):
-    """Rows (id, text) to (id, shingles) for the rows that the bit table says are needed."""
+    """Rows (text, h) to (n, mark, check, shingles) for the rows that the bit table says are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.frombuffer(table_of, np.uint8)
+        sent: set[bytes] = set()  # copies of a text are sent once, as far as a bounded memory tells
         for whole in batches:
-            h = whole.column(2).to_numpy()
+            h = whole.column(1).to_numpy()
             whole = whole.filter(pa.array((flags[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                shingles, sizes = shingle_sets([t.encode() for t in batch.column(1).to_pylist()])
+                shingles, sizes = shingle_sets([t.encode() for t in batch.column(0).to_pylist()])
+                mark, check = marks_of(shingles, sizes)
                 ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends, sizes)], pa.binary())], ["id", "shingles"])
+                new = np.zeros(len(sizes), bool)
+                for i, name in enumerate(map(bytes, np.stack([mark, check], 1))):
+                    new[i] = name not in sent
+                    sent.add(name)
+                if len(sent) > SENT:
+                    sent.clear()
+                sets = pa.array([shingles[e - n : e].tobytes() for e, n in zip(ends[new], sizes[new])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(sizes[new], pa.int64()), pa.array(mark[new]), pa.array(check[new]), sets], ["n", "mark", "check", "shingles"])
 
     return run
 
 
+def intersections(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """How many shingles each set of a shares with each of b; the sets stand one after another."""
+    shape = len(a_sizes), len(b_sizes)
+    out = np.zeros(shape, np.int64)
+    shared = np.intersect1d(np.unique(a), np.unique(b), assume_unique=True)
+    if not len(shared):
+        return out
+
+    def placed(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingle's number, set), by number."""
+        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        good = shared[at] == flat
+        number, row = at[good], np.repeat(np.arange(len(sizes)), sizes)[good]
+        order = np.argsort(number, kind="stable")
+        return number[order], row[order]
+
+    (x, x_row), (y, y_row) = placed(a, a_sizes), placed(b, b_sizes)
+    nx, ny = np.bincount(x, minlength=len(shared)), np.bincount(y, minlength=len(shared))
+    dense = nx * ny > out.size // 256  # a column of the product is cheaper than its pairs
+    for columns, used in ((np.flatnonzero(dense), True), (np.flatnonzero(~dense), False)):
+        if used:
+            place = np.full(len(shared), -1)
+            place[columns] = np.arange(len(columns))
+            px, py = place[x], place[y]
+            for low in range(0, len(columns), COLUMNS):
+                width = min(COLUMNS, len(columns) - low)
+                left, right = np.zeros((shape[0], width), np.float32), np.zeros((shape[1], width), np.float32)
+                for p, rows, matrix in ((px, x_row, left), (py, y_row, right)):
+                    here = (p >= low) & (p < low + width)
+                    matrix[rows[here], p[here] - low] = 1
+                out += (left @ right.T).astype(np.int64)
+        elif len(columns):
+            sx, sy = np.cumsum(nx) - nx, np.cumsum(ny) - ny
+            pairs = np.cumsum(nx[columns] * ny[columns])
+            for low in range(0, int(pairs[-1]), 1 << 20):
+                k = np.arange(low, min(low + (1 << 20), int(pairs[-1])))
+                c = np.searchsorted(pairs, k, "right")
+                inner = k - (pairs[c] - nx[columns[c]] * ny[columns[c]])
+                i = x_row[sx[columns[c]] + inner // ny[columns[c]]]
+                j = y_row[sy[columns[c]] + inner % ny[columns[c]]]
+                out += np.bincount(i * shape[1] + j, minlength=out.size).reshape(shape)
+    return out
+
+
+def _link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (label, x, y, side, node, copies, shingles) in order: for each node the copies of its links in the pair of blocks."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        side, node, copies = (rows.column(k).to_numpy() for k in (3, 4, 5))
+        sizes = pc.binary_length(rows.column(6)).to_numpy() // 8
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column(6)]
+        one = int((side == 0).sum())
+        same = rows.column(1)[0].as_py() == rows.column(2)[0].as_py()
+        held.clear()
+        cuts = (slice(0, one), slice(0, one)) if same else (slice(0, one), slice(one, len(side)))
+        a, b = cuts
+        if not sizes[b].size or not sizes[a].size:
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64())], ["node", "links"])
+        both = intersections(np.concatenate(sets[a]), sizes[a], np.concatenate(sets[b]), sizes[b])
+        linked = 100 * both >= 80 * (sizes[a][:, None] + sizes[b][None, :] - both)
+        if same:
+            np.fill_diagonal(linked, False)
+        found = [(node[a], linked @ copies[b])]
+        if not same:
+            found.append((node[b], copies[a] @ linked))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in (0, 1)], ["node", "links"])
+
+    for batch in batches:
+        key = np.stack([batch.column(k).to_numpy() for k in (0, 1, 2)])
+        if held and batch.num_rows and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != key[k, 0] for k in (0, 1, 2)):
+            yield flush()
+        cuts = [0, *(np.flatnonzero((np.diff(key, axis=1) != 0).any(0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if start:
+                yield flush()
+            if end > start:
+                held.append(batch.slice(start, end - start))
+    if held:
+        yield flush()
+
+
 def _within(a: str, b: str) -> Column:
     """Whether sizes and sketches of two nodes allow a link."""
     n = F.col(f"{a}_n") + F.col(f"{b}_n")
@@ -259,66 +388,76 @@ def _within(a: str, b: str) -> Column:
 
 
 class _Join:
-    """One run of the join: the documents, their nodes and the pairs that were tried."""
+    """One run of the join: the documents, their nodes and the pairs that were tried.
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    A node is a distinct set; its name is the number of one of its rows, so no two have the same.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, exact: bool):
         self.spark = docs.sparkSession
         ship(self.spark)
-        self.rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-        schema = "id long, n long, node long, check long, sketch array<long>, keys array<long>"
-        self.profiles = stored(self.rows.mapInArrow(released(_profiles), schema), "profiles")
-        classes = self.profiles.filter("n > 0").groupBy("node", "n", "check").agg(F.min("id").alias("class_id"))
+        self.exact, self.passing = exact, []
+        self.rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+        schema = f"id {type_of(docs, id_col)}, row long, n long, mark long, check long, h long, sketch array<long>, keys array<long>"
+        self.profiles = stored(self.rows.mapInArrow(released(_profiles(exact)), schema), "profiles")
+        classes = self.profiles.filter("n > 0").groupBy("mark", "n", "check").agg(F.min("id").alias("class_id"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
         self.classes = stored(classes, "classes")
-        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        few = self.classes.count() <= BROADCAST_NODES
+        names = self.classes.select(F.col("node").alias("row")).hint("broadcast" if few else "merge")
+        #: One row for each node, whatever copies it has, before anything is made of its keys.
+        self.nodes = self.profiles.join(names, "row", "left_semi").withColumnRenamed("row", "node")
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.profiles.count() // DOCS_A_TASK)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.passing)
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         rows = rows.repartition(self.parts, "key").sortWithinPartitions("key", "node")
-        return stored(rows.mapInArrow(released(_key_groups), "key long, node long, before long"), "keys")
+        return self.stored(rows.mapInArrow(released(_key_groups), "key long, node long, before long"), "keys")
 
-    def described(self, nodes: DataFrame) -> DataFrame:
-        """node, n, sketch of some nodes."""
-        some = self.profiles.filter(F.size("keys") > 0).select("node", "n", "sketch").join(nodes.select("node").distinct(), "node", "left_semi")
-        return stored(some.dropDuplicates(["node"]), "nodes")
+    def described(self, keys: DataFrame) -> DataFrame:
+        """node, n, h and sketch of the nodes of some keys."""
+        return self.stored(self.nodes.select("node", "n", "h", "sketch").join(keys.select("node").distinct(), "node", "left_semi"), "nodes")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """node, shingles: the full sets of some nodes.
 
-        A bit table of bounded size, built by Spark's bitmap aggregates, tells the scan which rows
+        A bit table of bounded size, built by Spark's bitmap aggregates, tells the scan which texts
         may be needed, so that texts aren't shuffled and only these rows' sets are.
         """
-        needed = stored(self.classes.join(nodes.select("node"), "node").groupBy("node").agg(F.min("class_id").alias("id")), "needed")
+        needed = self.stored(self.classes.select("mark", "n", "check", "node").join(nodes.select("node", "h"), "node"), "needed")
         bits = min(NEEDED_BITS, max(1 << 15, 1 << (16 * needed.count()).bit_length()))
-        place = F.pmod(F.xxhash64("id"), F.lit(bits))
+        place = F.pmod("h", F.lit(bits))
         marked = needed.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("flags"))
         flags = bytearray(bits // 8)
         for row in marked.collect():  # bits / 8 bytes at most
             flags[(row.bucket - 1) * 4096 : row.bucket * 4096] = row.flags
-        found = self.rows.select("id", "text", place.alias("h")).mapInArrow(released(_sets(bytes(flags), bits)), "id long, shingles binary")
-        # repeated ids bring one set more than once
-        return stored(found.join(needed, "id").select("node", "shingles").dropDuplicates(["node"]), "sets")
+        found = self.rows.select("text", place.alias("h")).mapInArrow(released(_sets(bytes(flags), bits)), "n long, mark long, check long, shingles binary")
+        # copies bring one set more than once
+        return self.stored(found.join(needed, ["mark", "n", "check"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
 
     def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets link."""
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return stored(both.select("a", "b", "x", "y").mapInArrow(released(_verified), "a long, b long"), "links")
+        return self.stored(both.select("a", "b", "x", "y").mapInArrow(released(_verified), "a long, b long"), "links")
 
     def neighbours(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes that follow each other in a key, as far as size and sketch allow."""
         pairs = keys.filter("before is not null").select(F.least("before", "node").alias("a"), F.greatest("before", "node").alias("b")).distinct()
         a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
-        return stored(pairs.join(a, "a").join(b, "b").filter(_within("a", "b")).select("a", "b"), "pairs")
+        return self.stored(pairs.join(a, "a").join(b, "b").filter(_within("a", "b")).select("a", "b"), "pairs")
 
     def across(self, keys: DataFrame, nodes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
         """Pairs of one key in different components, as far as size and sketch allow, that weren't tried."""
-        found, level = None, keys.select("key", "node")
-        for split in range(SPLITS + 1):
+        found, level, splits = None, keys.select("key", "node"), 0 if self.exact else SPLITS
+        for split in range(splits + 1):
             rows = level.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
             sizes = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("key", "size")
-            rows = stored(rows.join(sizes, "key"), "mixed")
+            rows = self.stored(rows.join(sizes, "key"), "mixed")
             large = rows.filter(F.col("size") > BLOCK)
-            last = split == SPLITS or large.isEmpty()
-            if split == SPLITS:  # what is still large is compared by all pairs of its blocks
+            last = split == splits or large.isEmpty()
+            if split == splits:  # what is still large is compared by all pairs of its blocks
                 n = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
                 own = F.pmod(F.xxhash64("node"), n).cast("int")
                 other = F.explode(F.sequence(F.lit(0), n - 1)).alias("_o")
@@ -334,44 +473,77 @@ class _Join:
             other = keys.select(F.col("key").alias("_key"), "node")
             level = large.select("key", "node").join(other, "node").filter("key <> _key").select(F.xxhash64("key", "_key").alias("key"), "node")
             level = self.keyed(level).select("key", "node")
-        return stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-
-    def labels(self) -> DataFrame:
-        """node, label of the nodes that some link touches."""
-        keys = self.keyed(self.profiles.select(F.explode("keys").alias("key"), "node"))
+        return self.stored(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+
+    def degrees(self, labels: DataFrame, sets: DataFrame) -> DataFrame:
+        """node, links: to how many rows of other nodes each node links, by blocks of its component."""
+        members = labels.join(self.classes.select("node", "n", "copies"), "node")
+        size = F.least(F.lit(LINK_BLOCK), F.greatest(F.lit(1), F.lit(LINK_BYTES // 8) / F.col("most")))
+        groups = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"), F.sum("copies").alias("rows"))
+        groups = groups.select("label", "m", "rows", F.ceil(F.col("m") / F.floor(size)).cast("int").alias("blocks"))
+        members = members.join(groups, "label")
+        two = members.filter("m = 2").select("node", (F.col("rows") - F.col("copies")).alias("links"))
+        own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+        dealt = members.filter("m > 2").join(sets, "node").select("label", "node", "copies", "shingles", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        x, y = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+        dealt = dealt.select("label", x, y, (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "copies", "shingles")
+        dealt = dealt.repartition(self.parts, "label", "x", "y").sortWithinPartitions("label", "x", "y", "side")
+        counted = dealt.mapInArrow(released(_link_counts), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+        return stored(two.unionByName(counted), "degrees")
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """node, label and node, links of the nodes that some link touches."""
+        keys = self.keyed(self.nodes.select(F.explode("keys").alias("key"), "node"))
         nodes = self.described(keys)
         sets = self.sets_of(nodes)
         tried = self.neighbours(keys, nodes)
         links = self.linked(tried, sets)
         labels = components(links)
         more = self.linked(self.across(keys, nodes, labels, tried), sets)
-        return labels if more.isEmpty() else components(links.unionByName(more))
+        labels = labels if more.isEmpty() else components(links.unionByName(more))
+        degrees = self.degrees(labels, sets)
+        remove(self.passing)
+        return labels, degrees
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, class_id; one row out for each row in.
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
+    """id, n_shingles, component_id, class_id, n_links; one row out for each row in.
 
     class_id is the smallest id with an equal set, component_id the smallest that links
-    reach. A text without words, also a null or empty one, has no shingles and is a
-    component by itself; one of fewer than five words has one shingle. Rows
-    without id take part in classes, but give them no name; repeated rows are
-    copies; an empty table gives no rows; only the two named columns are read.
+    reach, n_links the number of other rows that link with the row, copies among them. A text
+    without words, also a null or empty one, has no shingles and is a
+    component by itself; one of fewer than five words has one shingle. Ids are of any type
+    that has an order. Rows without id take part in classes, links and components, but give them
+    no name; repeated rows are copies; an empty table gives no rows; only the two named
+    columns are read.
     """
-    join = _Join(docs, id_col, text_col)
-    labels = join.labels()
-    named = join.classes.join(labels, "node", "left")
+    join = _Join(docs, id_col, text_col, exact)
+    labels, degrees = join.run()
+    named = join.classes.join(labels, "node", "left").join(degrees, "node", "left")
     named = named.withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "label").select("node", "n", "check", "class_id", "component_id")
-    out = join.profiles.select("id", "n", "node", "check").join(named, ["node", "n", "check"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("class_id", "id").alias("class_id"))
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs with the smallest id of their component, with all their columns."""
-    found = jaccard_join(docs, id_col)
-    gone = found.filter(F.col(id_col) != F.col("component_id")).select(id_col)
-    return without(docs, gone, id_col)
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    named = named.join(least, "label").select("mark", "n", "check", "class_id", "component_id", links.alias("n_links"))
+    out = join.profiles.select("id", "n", "mark", "check").join(named, ["mark", "n", "check"], "left")
+    return out.select(
+        F.col("id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Exactly one row of docs for each component, with all its columns: that with the smallest id.
+
+    Rows without id come last; of equal ids the first by file and place stays. Rows are told
+    apart by their place, so null and repeated ids are no matter.
+    """
+    docs, key = keyed(docs)
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(f"{key}.file").alias("file"), F.col(f"{key}.place").alias("place"))
+    found = jaccard_join(docs.select(order.alias("id"), F.col(text_col).alias("text")), "id")
+    return without(docs, key, found.filter("id <> component_id").select("id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,6 +565,7 @@ i AS (
   SELECT x, y FROM link UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x
 ), m AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
 eq AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY l) AS class_id FROM (SELECT doc_id, list(s ORDER BY s) AS l FROM s GROUP BY doc_id))
-SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, coalesce(eq.class_id, w.doc_id) AS class_id
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, coalesce(eq.class_id, w.doc_id) AS class_id, coalesce(g.n, 0) AS n_links
 FROM w LEFT JOIN c ON c.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id LEFT JOIN eq ON eq.doc_id = w.doc_id
+  LEFT JOIN (SELECT x, count(*) AS n FROM link GROUP BY x) g ON g.x = w.doc_id
 """
