@@ -12,7 +12,8 @@ containment: a window matches if it holds 80 % of the template's shingles.
 A band can collide only where the window holds the shingle that is the template's
 minimum in it, so only windows around such shingles are hashed; and only texts
 that hold one of a few words, without which four fifths of no template can be there,
-are cut into words at all. Everything happens within the row: nothing is shuffled.
+have shingles made of them at all. Bands, minima and sets are small tables that are joined,
+so the plan is the same for any number of templates.
 """
 
 from __future__ import annotations
@@ -22,24 +23,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import table, text_of
+from weft.llm.common import keyed, remove, stored, table, text_of
+from weft.llm.license_texts import TEMPLATES
 
 SHINGLE, BANDS = 5, 64
 #: Least containment, in hundredths.
 LEAST = 80
-
-#: Short notices and the notices that license authors ask to be attached.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "mit-line": "Released under the MIT License.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-}
+#: Templates whose tables are broadcast: 64 bands of 40 bytes each, 25 MB; and rows of candidates that are.
+BROADCAST_TEMPLATES, BROADCAST_ROWS = 10_000, 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -53,28 +44,38 @@ def shingles_of(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _placed(shingles: Column, n: int) -> Column:
+    """n, at and shingle of each."""
+    return F.transform(shingles, lambda h, i: F.struct(F.lit(n).alias("n"), i.cast("long").alias("at"), h.alias("shingle")))
+
+
 def minima(shingles: Column) -> Column:
     """For each band the least hash of the shingles."""
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, j))))
 
 
 class Templates:
-    """The templates by class: shingle length and window step."""
+    """The templates as tables, joined on shingle length n and window step."""
 
-    def __init__(self, spark: SparkSession, templates: dict[str, str]):
-        rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").withColumn("words", words_of(F.col("text")))
+    def __init__(self, spark: SparkSession, templates: dict[str, str], passing: list[str]):
+        rows = spark.createDataFrame(sorted(templates.items()), "name string, text string").repartition(1).withColumn("words", words_of(F.col("text")))
         size = F.least(F.lit(SHINGLE), F.size("words"))
-        by_size = F.coalesce(*(F.when(size == n, shingles_of(F.col("words"), n)) for n in range(1, SHINGLE + 1)))
-        rows = rows.filter(F.size("words") > 0).select("name", "words", size.alias("n"), F.array_distinct(by_size).alias("shingles"), F.size(by_size).alias("length"))
-        hashed = F.transform("shingles", lambda h: F.struct(h.alias("h"), F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(h, j)).alias("by_band")))
-        self.classes: dict[tuple[int, int], list] = {}
-        self.shingle_words: list[list[list[str]]] = []
-        for row in rows.select("*", minima(F.col("shingles")).alias("minima"), hashed.alias("hashed")).collect():  # as many as there are templates
-            step = 1 << max(0, math.ceil(math.log2(row.length)))
-            keys = [x.h for x in row.hashed if any(v == m for v, m in zip(x.by_band, row.minima))]
-            self.classes.setdefault((row.n, step), []).append((row["name"], list(row.shingles), list(row.minima), keys))
-            words = row.words
-            self.shingle_words.append([list(x) for x in {tuple(words[i : i + row.n]) for i in range(len(words) - row.n + 1)}])
+        by_size = F.element_at(F.array(*(shingles_of(F.col("words"), n) for n in range(1, SHINGLE + 1))), F.col("n"))
+        # an exchange between steps: what one makes isn't made again for each use in the next
+        rows = rows.filter(F.size("words") > 0).select("name", "words", size.alias("n")).withColumn("runs", by_size).repartition(1)
+        step = F.pow(2, F.ceil(F.log2(F.size("runs")))).cast("long")
+        rows = rows.select("name", "words", "n", step.alias("step"), F.array_distinct("runs").alias("shingles")).repartition(1)
+        rows = stored(rows.withColumn("minima", minima(F.col("shingles"))), "templates", passing)
+        self.hint = "broadcast" if len(templates) <= BROADCAST_TEMPLATES else "merge"
+        #: name, shingles
+        self.sets = rows.select("name", "shingles").hint(self.hint)
+        least = rows.select("name", "n", "step", "shingles", F.posexplode("minima").alias("band", "least"))
+        #: n, step, band, least, name
+        self.bands = least.drop("shingles").hint(self.hint)
+        key = F.filter("shingles", lambda h: F.xxhash64(h, F.col("band")) == F.col("least"))
+        #: n, step, shingle: those that are some template's least in some band
+        self.keys = stored(least.select("n", "step", F.explode(key).alias("shingle")).distinct().coalesce(1), "template-keys", passing).hint(self.hint)
+        self.words = [r.words for r in rows.select("words").collect()]  # as many as there are templates
 
     def anchors(self) -> list[str]:
         """Words one of which every text with a match holds; long words first, since they are rare.
@@ -82,7 +83,10 @@ class Templates:
         A match lacks at most a fifth of a template's shingles, so words that stand in one
         more than that are enough.
         """
-        left = [[set(x) for x in runs] for runs in self.shingle_words]
+        left = []
+        for words in self.words:
+            n = min(SHINGLE, len(words))
+            left.append([set(x) for x in {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}])
         need = [len(runs) - math.ceil(len(runs) * LEAST / 100) + 1 for runs in left]
         found: list[str] = []
         while any(n > 0 for n in need):
@@ -97,57 +101,53 @@ class Templates:
         return found
 
 
-def _matches(shingles: Column, step: int, members: list) -> Column:
-    """(name, window) of the class's templates in a text."""
-    keys = F.lit(sorted({k for _, _, _, own in members for k in own}))
-    by_band: dict[tuple[int, int], list[int]] = {}
-    for number, (_, _, least, _) in enumerate(members):
-        for j, value in enumerate(least):
-            by_band.setdefault((j, value), []).append(number)
-    bands = [F.array(*(F.struct(F.lit(v).cast("bigint").alias("least"), F.lit(ns).cast("array<int>").alias("templates")) for (j, v), ns in sorted(by_band.items()) if j == band)) for band in range(BANDS)]
-    sets = F.array(*(F.lit(own).cast("array<bigint>") for _, own, _, _ in members))
-    names = F.array(*(F.lit(name) for name, *_ in members))
-    at = F.filter(F.sequence(F.lit(0), F.size(shingles) - 1), lambda i: F.array_contains(keys, F.element_at(shingles, (i + 1).cast("int"))))
-    windows = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(F.floor(i / step) - 1, F.floor(i / step)))))
-    windows = F.filter(windows, lambda w: w >= 0)
-
-    def of(w: Column) -> Column:
-        held = F.slice(shingles, (w * step + 1).cast("int"), 2 * step)
-        pairs = F.zip_with(minima(held), F.array(*bands), lambda least, table_: F.flatten(F.transform(F.filter(table_, lambda x: x["least"] == least), lambda x: x["templates"])))
-        found = F.array_distinct(F.flatten(pairs))
-        true = F.filter(found, lambda t: F.size(F.array_intersect(held, F.element_at(sets, t + 1))) * 100 >= F.size(F.element_at(sets, t + 1)) * LEAST)
-        return F.transform(true, lambda t: F.struct(F.element_at(names, t + 1).alias("name"), w.cast("bigint").alias("window")))
-
-    return F.when(F.size(shingles) > 0, F.flatten(F.transform(windows, of))).otherwise(F.array().cast("array<struct<name:string,window:bigint>>"))
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_licenses, licenses, n_windows; one row out for each row in.
 
-    licenses: the names of the matching templates, sorted and comma-joined; n_windows: how
-    many pairs of window and template match. Null, empty and short texts match
-    nothing; ids pass through, null and repeated ones too; an empty table gives no
+    templates: name and text of each, TEMPLATES if none are given. licenses: the names of
+    the matching templates, sorted and comma-joined; n_windows: how many pairs of window
+    and template match. Null, empty and short texts match nothing; ids pass through, of any
+    type, null and repeated ones too (rows are told apart by their place); an empty table gives no
     rows; only the two named columns are read.
     """
-    known = Templates(docs.sparkSession, TEMPLATES if templates is None else templates)
-    anchors = known.anchors()
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    low = F.lower("_text")
-    some = F.lit(False)
-    for word in anchors:
-        some = some | F.contains(low, F.lit(word))
-    rows = rows.select("_id", F.when(some, words_of(F.col("_text"))).otherwise(F.array().cast("array<string>")).alias("_words"))
-    sizes = sorted({n for n, _ in known.classes})
-    rows = rows.select("_id", *(shingles_of(F.col("_words"), n).alias(f"_s{n}") for n in sizes))
-    found = [_matches(F.col(f"_s{n}"), step, members) for (n, step), members in sorted(known.classes.items())]
-    empty = F.array().cast("array<struct<name:string,window:bigint>>")
-    rows = rows.select("_id", F.flatten(F.array(*(found or [empty]))).alias("_found"))
-    names = F.array_sort(F.array_distinct(F.transform("_found", lambda x: x["name"])))
-    return rows.select(
+    passing: list[str] = []
+    known = Templates(docs.sparkSession, TEMPLATES if templates is None else templates, passing)
+    docs, key = keyed(docs)
+    docs = docs.select(F.col(key).alias("_row"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    anchors = F.lit(known.anchors()).cast("array<string>")
+    # the lower-case text is bound once by the outer function, and not made again for each anchor
+    some = F.exists(F.array(F.lower("_text")), lambda low: F.exists(anchors, lambda word: F.contains(low, word)))
+    texts = stored(docs.filter(some).select("_row", words_of(F.col("_text")).alias("_words")), "license-words", passing)
+
+    # where a window may be that a band retrieves
+    each = F.flatten(F.array(*(_placed(shingles_of(F.col("_words"), n), n) for n in range(1, SHINGLE + 1))))
+    found = texts.select("_row", F.inline(each)).join(known.keys, ["n", "shingle"])
+    place = F.floor(F.col("at") / F.col("step")).cast("long")
+    found = found.select("_row", "n", "step", F.explode(F.array(place - 1, place)).alias("window")).filter("window >= 0").distinct()
+    windows = stored(found.groupBy("_row").agg(F.collect_set(F.struct("n", "step", "window")).alias("_windows")), "license-windows", passing)
+
+    # those windows' bands, what they retrieve and whether it is there
+    few = windows.count() <= BROADCAST_ROWS
+    again = texts.join(windows.hint("broadcast" if few else "merge"), "_row")
+    again = again.select("_row", F.array(*(shingles_of(F.col("_words"), n) for n in range(1, SHINGLE + 1))).alias("_by_n"), "_windows")
+    held = lambda w: F.slice(F.element_at("_by_n", w["n"]), (w["window"] * w["step"] + 1).cast("int"), (w["step"] * 2).cast("int"))
+    cut = F.transform("_windows", lambda w: F.struct(w["n"].alias("n"), w["step"].alias("step"), w["window"].alias("window"), held(w).alias("_held")))
+    again = again.select("_row", F.inline(cut)).select("*", F.posexplode(minima(F.col("_held"))).alias("band", "least"))
+    again = again.join(known.bands, ["n", "step", "band", "least"]).join(known.sets, "name")
+    true = F.size(F.array_intersect("_held", "shingles")) * 100 >= F.size("shingles") * LEAST
+    matches = again.filter(true).select("_row", "name", "window").distinct()
+    matches = matches.groupBy("_row").agg(F.array_sort(F.collect_set("name")).alias("_names"), F.count(F.lit(1)).alias("n_windows"))
+    matches = stored(matches, "license-matches")
+    remove(passing)
+
+    few = matches.count() <= BROADCAST_ROWS
+    out = docs.select("_row", "_id").join(matches.hint("broadcast" if few else "merge"), "_row", "left")
+    names = F.coalesce("_names", F.array().cast("array<string>"))
+    return out.select(
         F.col("_id").alias(id_col),
         F.size(names).cast("long").alias("n_licenses"),
         F.array_join(names, ",").alias("licenses"),
-        F.size("_found").cast("long").alias("n_windows"),
+        F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"),
     )
 
 
@@ -175,4 +175,4 @@ m AS (SELECT doc_id, name, win FROM hit WHERE win >= 0 GROUP BY doc_id, name, si
 r AS (SELECT doc_id, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(*) AS n_windows FROM m GROUP BY doc_id)
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, coalesce(n_windows, 0) AS n_windows
 FROM documents LEFT JOIN r USING (doc_id)
-""" % ", ".join(f"('{name}', '{body}')" for name, body in TEMPLATES.items())
+""" % ", ".join("('{}', '{}')".format(name, body.replace("'", "''")) for name, body in TEMPLATES.items())
