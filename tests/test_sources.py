@@ -33,7 +33,7 @@ def test_owl(spark, tmp_path):
 def test_n_triples(spark, tmp_path):
     text = '<http://x#a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .\n_:b <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/2002/07/owl#Class> .\n# no statement\n<http://x#a> <http://www.w3.org/2000/01/rdf-schema#label> "A \\"b\\""@en .\n'
     o = ontologies.load(spark, write(tmp_path / "a.nt", text), "nt")
-    assert [(r.uri, r.label) for r in o.concepts.collect()] == [("http://x#a", 'A \\"b\\"')]
+    assert [(r.uri, r.label) for r in o.concepts.collect()] == [("http://x#a", 'A "b"')]
 
 
 def test_indented(spark):

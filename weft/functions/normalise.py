@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: The short list of words that say nothing about a concept.
-STOP_WORDS = ["a", "an", "and", "by", "for", "from", "has", "in", "is", "of", "on", "or", "the", "to", "with"]
+STOP_WORDS = ["a", "an", "as", "at", "by", "about", "for", "from", "of", "or", "and", "&", "the", "to", "@en"]
 #: Words whose presence on one side alone speaks against a match.
 PREPOSITIONS = ["at", "by", "for", "from", "in", "of", "on", "to", "with"]
 #: What organisations add to their names.
@@ -28,6 +28,8 @@ class Options:
     diacritics: bool = True
     stop_words: bool = False
     stem: bool = False
+    #: A longer list in place of STOP_WORDS.
+    other_stop_words: tuple[str, ...] = ()
 
 
 def separate_words(text: Column) -> Column:
@@ -55,8 +57,9 @@ def normalise(text: Column, options: Options = Options()) -> Column:
     if options.digits:
         out = F.regexp_replace(out, "[0-9]", "")
     words = F.filter(F.split(out, " "), lambda w: w != "")
-    if options.stop_words:
-        words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+    dropped = list(options.other_stop_words) or (STOP_WORDS if options.stop_words else [])
+    if dropped:
+        words = F.filter(words, lambda w: ~w.isin(dropped))
     joined = F.array_join(words, " ")
     return stem_words(joined) if options.stem else joined
 

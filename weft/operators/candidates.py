@@ -45,6 +45,42 @@ def all_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.crossJoin(b)
 
 
+def dealt_pairs(source: DataFrame, target: DataFrame, parts: int) -> DataFrame:
+    """Every source with every target in blocks: each side in `parts` chunks by id, `parts` stages of disjoint blocks.
+
+    Blocks are joined on their target chunk, so a block is one key of bounded size instead of a
+    product of whole sides; a stage's blocks share no chunk and can be scored by themselves.
+    """
+    a = source.select(F.col("id").alias("src_id")).withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    a = a.withColumn("_chunk", F.pmod(F.col("src_id") + F.col("stage"), F.lit(parts)))
+    b = target.select(F.col("id").alias("tgt_id"), F.pmod("id", F.lit(parts)).alias("_chunk"))
+    return a.join(b, "_chunk").select(*PAIR, "stage")
+
+
+def similar_pairs(source: DataFrame, target: DataFrame, threshold: float, text: str = "label") -> DataFrame:
+    """The pairs whose edit similarity reaches a threshold above 0.5, without the product of both sides.
+
+    An edit changes two letter pairs at most. With an edit distance below half the longer
+    length, some letter pair of the padded texts is left in both, so a join on letter
+    pairs loses no such pair; lengths are compared before the distance is. Empty texts are
+    like none.
+    """
+    if threshold <= 0.5:
+        raise ValueError("a threshold above 0.5 is needed: below it texts may share no letter pair")
+
+    def keyed(side: DataFrame, name: str) -> DataFrame:
+        padded = F.concat(F.lit("#"), F.col(text), F.lit("#"))
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(2))))
+        return side.filter(F.length(text) > 0).select(F.col("id").alias(f"{name}_id"), F.length(text).alias(f"_{name}"), F.explode(grams).alias("_gram"))
+
+    texts = lambda side, name: side.select(F.col("id").alias(f"{name}_id"), F.col(text).alias(f"{name}_text"))
+    near = F.least("_src", "_tgt") >= F.greatest("_src", "_tgt") * F.lit(threshold)
+    pairs = keyed(source, "src").join(keyed(target, "tgt"), "_gram").filter(near).select(*PAIR).distinct()
+    both = pairs.join(texts(source, "src"), "src_id").join(texts(target, "tgt"), "tgt_id")
+    scored = both.select(*PAIR, (1 - F.levenshtein("src_text", "tgt_text") / F.greatest(F.length("src_text"), F.length("tgt_text"))).alias("similarity"))
+    return scored.filter(F.col("similarity") >= threshold)
+
+
 def mediated(to_bridge: DataFrame, from_bridge: DataFrame) -> DataFrame:
     """Source to target over a bridge: the product of both similarities, the best bridge of each pair."""
     a = to_bridge.select("src_id", F.col("tgt_id").alias("_b"), F.col("similarity").alias("_x"))

@@ -254,3 +254,20 @@ def merged_quality(a: DataFrame, b: DataFrame) -> DataFrame:
         return both.select("src_id", ((F.col("_a") + F.col("_b")) / 2).alias("weight"))
     both = a.withColumnRenamed("weight", "_a").crossJoin(b.withColumnRenamed("weight", "_b"))
     return both.select(*(c for c in ("src_id",) if c in both.columns), ((F.col("_a") + F.col("_b")) / 2).alias("weight"))
+
+
+#: Qualities of a whole matcher's result: a function of its similarities and of how many targets there are.
+QUALITY = {
+    "mean": lambda sim, n_targets: sim.agg(F.avg("similarity").alias("value")),
+    "definiteness": lambda sim, n_targets: sim.agg(F.avg(definiteness(F.col("similarity"))).alias("value")),
+    "fill": lambda sim, n_targets: sim.agg((F.count(F.lit(1)) / (F.count_distinct("src_id") * F.lit(n_targets))).alias("value")),
+}
+
+
+def measured(sim: DataFrame, n_targets: int, names: list[str] | None = None) -> DataFrame:
+    """metric, value: the registered qualities, all or those named."""
+    out = None
+    for name in names or sorted(QUALITY):
+        one = QUALITY[name](sim, n_targets).select(F.lit(name).alias("metric"), "value")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -37,6 +37,18 @@ def ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
     return scored.orderBy(F.desc(by), *PAIR).limit(k)
 
 
+def best_head(lists: list[DataFrame], seen: DataFrame) -> DataFrame:
+    """Of several rankings (src_id, tgt_id, similarity, rank) the head that is the most similar, above 0; of equals the first list's.
+
+    A list's head is its first pair that nobody has judged yet. One row at most.
+    """
+    heads = None
+    for place, one in enumerate(lists):
+        head = one.join(seen.select(*PAIR), PAIR, "left_anti").orderBy("rank", *PAIR).limit(1).select(*PAIR, "similarity", F.lit(place).alias("list"))
+        heads = head if heads is None else heads.unionByName(head)
+    return heads.filter("similarity > 0").orderBy(F.desc("similarity"), "list").limit(1)
+
+
 def quality_rank(cross: Column, definite: Column, alpha: float = 0.5, beta: float = 0.5) -> Column:
     return alpha * cross + beta * (1 - definite)
 
@@ -225,3 +237,29 @@ def loop(sim: DataFrame, reference: DataFrame, rounds: int, each: int) -> list[d
         row = accuracy(at_least(now, 0.6), reference).first()
         history.append({"iteration": i + 1, "precision": row.precision, "recall": row.recall, "f": row.f, "delta": row.n_found + row.n_reference - 2 * row.n_correct})
     return history
+
+
+def _evaluated(state: dict) -> dict:
+    from weft.operators import evaluation, selection
+
+    return state | {"quality": evaluation.accuracy(selection.at_least(state["sim"], state.get("threshold", 0.6)).select(*PAIR), state["reference"])}
+
+
+#: The stages of a feedback round by name, each from a state to a state; another function under a name replaces it.
+STAGES = {
+    "initial": lambda state: state,
+    "ranking": lambda state: state | {"ranked": unvalidated(state["sim"], state["counts"]).orderBy(F.desc("similarity"), *PAIR)},
+    "validation": lambda state: state,
+    "aggregation": lambda state: state | {"decided": decided(state["counts"])},
+    "propagation": lambda state: state | {"sim": apply_votes(state["sim"], state["counts"])},
+    "evaluation": _evaluated,
+    "control": lambda state: state,
+}
+
+
+def run_stages(sim: DataFrame, counts: DataFrame, reference: DataFrame, stages: dict | None = None) -> DataFrame:
+    """The similarities after one round of the registered stages, or of others under their names."""
+    state = {"sim": sim, "counts": counts, "reference": reference}
+    for name, stage in (STAGES | (stages or {})).items():
+        state = stage(state)
+    return state["sim"]

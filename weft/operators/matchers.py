@@ -91,6 +91,23 @@ def vector_words(source: DataFrame, target: DataFrame) -> DataFrame:
     return C.cosine_join(side("s"), side("t"))
 
 
+def soft_vector_words(source: DataFrame, target: DataFrame, least: float = 0.8) -> DataFrame:
+    """As vector_words(), but a word also goes with the likest word of the other side, from `least` up.
+
+    A word's part is both weights times the words' similarity; of equally like words that with the
+    greater weight counts, then the first. Words are compared once, not once for each pair.
+    """
+    corpus = source.select(F.concat(F.lit("s"), "id").alias("id"), "words").unionByName(target.select(F.concat(F.lit("t"), "id").alias("id"), "words"))
+    vectors = C.tf_idf_vectors(corpus)
+    side = lambda x, name: vectors.filter(F.col("id").startswith(x)).select(F.expr("cast(substring(id, 2) as bigint)").alias(f"{name}_id"), F.col("word").alias(f"{name}_word"), F.col("weight").alias(f"{name}_weight"))
+    a, b = side("s", "src"), side("t", "tgt")
+    words = lambda v, name: v.select(F.col(f"{name}_word").alias("label")).distinct().withColumn("id", F.col("label"))
+    alike = C.similar_pairs(words(a, "src"), words(b, "tgt"), least).select(F.col("src_id").alias("src_word"), F.col("tgt_id").alias("tgt_word"), "similarity")
+    met = a.join(alike, "src_word").join(b, "tgt_word")
+    best = met.groupBy(*PAIR, "src_word", "src_weight").agg(F.max(F.struct("similarity", "tgt_weight")).alias("b"))
+    return best.groupBy(*PAIR).agg(F.sum(F.col("src_weight") * F.col("b.tgt_weight") * F.col("b.similarity")).alias("similarity"))
+
+
 def token_similarity(source: DataFrame, target: DataFrame, words: str = "words", kind: str = "cosine") -> DataFrame:
     """A token measure for the pairs that share a word; both sides: id and an array of words."""
     shared = C.token_blocks(source, target, words).select(*PAIR)
@@ -142,6 +159,12 @@ def lexical_synonyms(source: DataFrame, target: DataFrame, dictionary: DataFrame
     return hit.withColumn("similarity", F.lit(score))
 
 
+def shared_forms(source: DataFrame, target: DataFrame, score: float = 0.95) -> DataFrame:
+    """Pairs whose labels or local names are one form, whatever their case and separators."""
+    forms = lambda c: c.select("id", F.array(N.normalise(F.col("label")), N.normalise(F.col("local_name"))).alias("forms"))
+    return C.synonym_join(forms(source), forms(target)).withColumn("similarity", F.lit(score))
+
+
 def hypernym_similarity(source: DataFrame, target: DataFrame, dictionary: DataFrame, hypernyms: DataFrame) -> DataFrame:
     """Best of synonymy (1) and 1 / (1 + steps) to a common hypernym; hypernyms: (low, high, distance) closure."""
     mine = lambda c: c.select("id", F.lower("label").alias("form")).join(dictionary.select("synset", F.lower("form").alias("form")), "form").select("id", "synset")

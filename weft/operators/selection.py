@@ -43,6 +43,11 @@ def mutual_best(sim: DataFrame) -> DataFrame:
     return marked.filter((F.col("similarity") == F.col("_row")) & (F.col("similarity") == F.col("_column"))).drop("_row", "_column")
 
 
+def copied(previous: DataFrame) -> DataFrame:
+    """An earlier selection as it is."""
+    return previous.select(*PAIR, "similarity")
+
+
 def global_top(sim: DataFrame, k: int, mask: DataFrame | None = None) -> DataFrame:
     """The k best cells, of equals the first; a mask keeps only its own pairs."""
     some = sim if mask is None else sim.join(mask.select(*PAIR), PAIR, "left_semi")

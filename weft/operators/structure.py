@@ -140,6 +140,32 @@ def connectivity_graph(src_graph: DataFrame, tgt_graph: DataFrame) -> DataFrame:
     return forth.unionByName(reverse)
 
 
+def pair_scoped_graph(src_graph: DataFrame, tgt_graph: DataFrame) -> DataFrame:
+    """The edges of each pair's own part of the connectivity graph: the pair and its neighbours alone.
+
+    There a neighbour has no other edge of the label, so all that it holds goes to the pair.
+    """
+    both = connectivity_graph(src_graph, tgt_graph)
+    return both.select("a1", "b1", "a2", "b2").distinct().withColumn("w", F.lit(1.0))
+
+
+def flood_by_sql(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
+    """Flooding said in SQL: edges (label, a1, b1, a2, b2) are completed by those back that are missing, an edge's
+    coefficient is one over the edges that leave its beginning under its label, and in each round a pair
+    with edges adds what its ends hold, by coefficient, before all are divided by the greatest.
+    """
+    spark = edges.sparkSession
+    edges = edges.select("label", "a1", "b1", "a2", "b2")
+    back = spark.sql("SELECT label, a2 AS a1, b2 AS b1, a1 AS a2, b1 AS b2 FROM {e} EXCEPT SELECT * FROM {e}", e=edges)
+    graph = _cut(spark.sql("SELECT *, 1.0D / count(*) OVER (PARTITION BY label, a1, b1) AS w FROM (SELECT DISTINCT * FROM {e} UNION ALL SELECT * FROM {b})", e=edges, b=back))
+    now = _cut(start.select(*PAIR, "similarity"))
+    for _ in range(rounds):
+        held = spark.sql("SELECT a1 AS src_id, b1 AS tgt_id, sum(w * v.similarity) AS s FROM {g} JOIN {v} v ON a2 = v.src_id AND b2 = v.tgt_id GROUP BY a1, b1", g=graph, v=now)
+        new = spark.sql("SELECT v.src_id, v.tgt_id, v.similarity + coalesce(s, 0) AS s FROM {v} v LEFT JOIN {h} h ON v.src_id = h.src_id AND v.tgt_id = h.tgt_id", v=now, h=held)
+        now = _cut(spark.sql("SELECT src_id, tgt_id, s / greatest(1e-300D, (SELECT max(s) FROM {n})) AS similarity FROM {n}", n=new))
+    return now
+
+
 def flood(graph: DataFrame, start: DataFrame, rounds: int = 10, least_change: float = 0.01) -> DataFrame:
     """Similarity flooding: each round adds the neighbours' similarities by coefficient and divides by the greatest.
 

@@ -7,6 +7,8 @@ each return flag. Votes come from `events`.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,4 +107,6 @@ def oracle(body: str, *ctes: str) -> str:
     for t in TABLES:
         text = text.replace("{" + t + "}", t)
     text = text.replace("get_json_object(", "json_extract_string(")
+    for name in ("one", "two", "one_edges", "two_edges", "cells"):  # each is made once, however often it is joined
+        text = re.sub(rf"(^|[\s,]){name} AS \(", rf"\1{name} AS MATERIALIZED (", text)
     return (f"WITH RECURSIVE {text}, {body[5:]}" if body.startswith("WITH ") else f"WITH {text} {body}") if text else body

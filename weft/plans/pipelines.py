@@ -12,12 +12,14 @@ from weft.functions import strings as S
 from weft.functions.normalise import normalise
 from weft.operators import combination, evaluation, matchers, selection, structure
 
+PAIR = ["src_id", "tgt_id"]
 #: (source concepts, target concepts) -> sim
 Matcher = Callable[[DataFrame, DataFrame], DataFrame]
 MATCHERS: dict[str, Matcher] = {
     "base": matchers.base_similarity,
     "parametric": matchers.parametric,
     "advanced": matchers.advanced_similarity,
+    "synonyms": matchers.shared_forms,
     "words": lambda s, t: matchers.vector_words(*(c.select("id", S.tokens(normalise(F.col("label"))).alias("words")) for c in (s, t))),
     "all-one": lambda s, t: matchers.constant(s, t, 1.0),
     "all-zero": lambda s, t: matchers.constant(s, t, 0.0),
@@ -82,6 +84,26 @@ PLANS = {
 }
 
 
+#: Sets of matchers that a feedback loop begins with: ones that look at different things, those of them that
+#: need no product of both sides, and the first with what refines them.
+INITIAL = {
+    "orthogonal": ["base", "advanced", "parametric", "words", "synonyms"],
+    "large": ["base", "words", "synonyms"],
+    "best": ["base", "advanced", "parametric", "words", "synonyms", "siblings", "inherit"],
+}
+
+
+def initial(source: Side, target: Side, which: str) -> DataFrame:
+    """All similarities of an initial set in one relation; refinements work on the mean of the matchers."""
+    names = INITIAL[which]
+    scored = scores(source, target, [n for n in names if n in MATCHERS])
+    out = scored
+    for how in (n for n in names if n not in MATCHERS):
+        sim = combination.linear(scored, {n: 1.0 for n in names if n in MATCHERS})
+        out = out.unionByName(refined(sim, source, target, how).select(*PAIR, "similarity").withColumn("matcher", F.lit(how)))
+    return out
+
+
 def quality_weights(scored: DataFrame, n_targets: int) -> DataFrame:
     """matcher, src_id, weight: each matcher's local confidence."""
     names = [r.matcher for r in scored.select("matcher").distinct().collect()]  # the matchers' names

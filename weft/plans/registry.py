@@ -25,7 +25,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["O1_minimum_slice"](spark, sf_dir)
 
 
-from weft.plans import query_evaluation, query_feedback, query_labels, query_matching, query_more, query_sources, query_vectors  # noqa: E402
+from weft.plans import query_evaluation, query_feedback, query_labels, query_matching, query_more, query_rest, query_sources, query_vectors  # noqa: E402
 
-for module in (query_labels, query_matching, query_evaluation, query_feedback, query_vectors, query_sources, query_more):
+for module in (query_labels, query_matching, query_evaluation, query_feedback, query_vectors, query_sources, query_more, query_rest):
     module.register(add)

@@ -30,14 +30,35 @@ def local_name(uri: Column) -> Column:
 _TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"\S*)\s*\.\s*$'
 
 
+def unescaped(text: Column) -> Column:
+    """A literal's body with its escapes decoded: one backslash and letter, or 4 or 8 hexadecimal digits of a code point.
+
+    Only bodies with a backslash are cut up. Pieces are an escape or what stands between two.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), 1)
+    short = F.create_map(*(F.lit(x) for pair in {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}.items() for x in pair))
+
+    def of(piece: Column) -> Column:
+        second = F.substring(piece, 2, 1)
+        point = F.decode(F.unhex(F.lpad(F.substring(piece, 3, 8), 8, "0")), "UTF-32")
+        return F.when(~F.startswith(piece, F.lit("\\")), piece).when(second.isin("u", "U") & (F.length(piece) > 2), point).otherwise(F.coalesce(short[second], second))
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(pieces, of), "")).otherwise(text)
+
+
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an N-Triples file that read_triples() skips, but for comments and blank ones."""
+    return spark.read.text(path).filter(~F.col("value").rlike(_TRIPLE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples: s, p, o, is_literal; lines that aren't statements are skipped."""
+    """N-Triples: s, p, o, is_literal; lines that aren't statements are skipped (rejected_lines() has them)."""
     rows = spark.read.text(path).filter(F.col("value").rlike(_TRIPLE))
     part = lambda i: F.regexp_extract("value", _TRIPLE, i)
     bare = lambda c: F.regexp_replace(c, "^<|>$", "")
     literal = F.regexp_extract(part(3), r'^"((?:[^"\\]|\\.)*)"', 1)
     is_literal = F.startswith(part(3), F.lit('"'))
-    return rows.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(is_literal, literal).otherwise(bare(part(3))).alias("o"), is_literal.alias("is_literal"))
+    return rows.select(bare(part(1)).alias("s"), part(2).alias("p"), F.when(is_literal, unescaped(literal)).otherwise(bare(part(3))).alias("o"), is_literal.alias("is_literal"))
 
 
 def repaired(lines: DataFrame) -> DataFrame:
@@ -122,3 +143,36 @@ def instances(triples: DataFrame, types: str = f"{RDF}type") -> DataFrame:
     values = triples.filter(F.col("p") != types).groupBy(F.col("s").alias("uri"), local_name(F.col("p")).alias("k")).agg(F.sort_array(F.collect_set("o")).alias("v"))
     props = values.groupBy("uri").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("props"))
     return typed.join(props, "uri", "left")
+
+
+class TripleStore:
+    """Statements in a folder that any store can hold: what is added or removed is appended, the last word on a statement counts."""
+
+    KEY = ("s", "p", "o", "is_literal")
+
+    def __init__(self, spark: SparkSession, path: str):
+        """Open the store; an empty or missing folder is an empty store."""
+        self.spark, self.path = spark, path
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        self.turn = (self._log().agg(F.max("turn")).first()[0] or 0) if there else 0
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema("s string, p string, o string, is_literal boolean, turn long, is_added boolean").parquet(self.path)
+
+    def _append(self, triples: DataFrame, is_added: bool) -> None:
+        self.turn += 1
+        triples.select(*self.KEY, F.lit(self.turn).cast("long").alias("turn"), F.lit(is_added).alias("is_added")).write.mode("append").parquet(self.path)
+
+    def add(self, triples: DataFrame) -> None:
+        self._append(triples, True)
+
+    def remove(self, triples: DataFrame) -> None:
+        self._append(triples, False)
+
+    def read(self) -> DataFrame:
+        """s, p, o, is_literal of the statements that are there."""
+        if not self.turn:
+            return self.spark.createDataFrame([], "s string, p string, o string, is_literal boolean")
+        last = self._log().groupBy(*self.KEY).agg(F.max_by("is_added", "turn").alias("there"))
+        return last.filter("there").drop("there")
