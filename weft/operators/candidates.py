@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.cut import kept
+
 PAIR = ["src_id", "tgt_id"]
 
 
@@ -115,13 +117,12 @@ def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     circle ends when nothing new is found. With a depth only ways of at most so many
     edges are returned.
     """
-    spark = edges.sparkSession
     known = edges.filter("parent IS NOT NULL").select(F.col("child").alias("low"), F.col("parent").alias("high"), F.lit(1).alias("distance")).distinct()
     size = known.count()
     while True:
         far = known.alias("a").join(known.alias("b"), F.col("a.high") == F.col("b.low")).select(F.col("a.low").alias("low"), F.col("b.high").alias("high"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
         known = known.unionByName(far).groupBy("low", "high").agg(F.min("distance").alias("distance"))
-        known = known.checkpoint() if spark.sparkContext.getCheckpointDir() else known.persist()
+        known = kept(known)
         before, size = size, known.count()
         if size == before:
             return known if depth is None else known.filter(F.col("distance") <= depth)
@@ -156,7 +157,7 @@ def reachable_pairs(edges: DataFrame, start: DataFrame) -> DataFrame:
     last = seen
     while not last.isEmpty():
         last = last.join(step, ["a", "b"]).select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-        last = last.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else last.persist()
+        last = kept(last)
         seen = seen.unionByName(last)
     return seen
 

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.operators.selection import _checked, labelled_blocks
+from weft.operators.cut import kept as _checked
+from weft.operators.selection import labelled_blocks
 
 ENDS = ["src_onto", "src_id", "tgt_onto", "tgt_id"]
 

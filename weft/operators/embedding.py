@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.cut import kept
 from weft.operators.numbering import numbered
 
 
@@ -39,6 +40,7 @@ def running_share(vocab: DataFrame, power: float = 0.75) -> DataFrame:
     Words of one count have equal weights, so sums run over distinct counts, of which
     there are few, and a word's share follows from its place in the whole order.
     """
+    vocab = kept(vocab.select("word", "cnt"))  # counted once for the totals and the order
     counts = vocab.groupBy("cnt").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.pow(F.col("cnt"), F.lit(power)))
     upto = W.orderBy(F.desc("cnt")).rowsBetween(W.unboundedPreceding, W.currentRow)
     total = counts.agg(F.sum(F.col("n") * F.col("w")).alias("total"))
@@ -60,10 +62,13 @@ def contexts(docs: DataFrame, window: int, id_col: str = "doc_id", text: str = "
     nothing is joined or shuffled.
     """
     rows = docs.select(F.col(id_col).alias("id"), words_of(F.coalesce(text, F.lit(""))).alias("w")).filter(F.size("w") > 1)
-    rows = rows.select("id", "w", F.posexplode("w").alias("pos", "word"))
-    reach = window - F.pmod(F.xxhash64("id", "pos", F.lit(seed)), F.lit(window)).cast("int")
-    near = F.transform(F.sequence(F.greatest(-F.col("pos"), -reach), F.least(F.size("w") - 1 - F.col("pos"), reach)), lambda d: F.struct(d.alias("offset"), F.element_at("w", (F.col("pos") + d + 1).cast("int")).alias("context")))
-    return rows.select("id", "word", F.explode(near).alias("n")).select("id", "word", "n.context", "n.offset").filter("offset <> 0")
+
+    def around(word: Column, pos: Column) -> Column:
+        reach = window - F.pmod(F.xxhash64("id", pos, F.lit(seed)), F.lit(window)).cast("int")
+        offsets = F.filter(F.sequence(F.greatest(-pos, -reach), F.least(F.size("w") - 1 - pos, reach)), lambda d: d != 0)
+        return F.transform(offsets, lambda d: F.struct(word.alias("word"), F.element_at("w", (pos + d + 1).cast("int")).alias("context"), d.alias("offset")))
+
+    return rows.select("id", F.inline(F.flatten(F.transform("w", around))))
 
 
 def train_kernel(inputs: np.ndarray, outputs: np.ndarray, centre: np.ndarray, context: np.ndarray, draws: np.ndarray, rate: float, cbow: bool = False) -> None:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.cut import kept
+
 
 def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
     """df with each row's place in the order, from 0.
@@ -16,7 +18,7 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFr
     """
     spark = df.sparkSession
     parts = df.orderBy(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.checkpoint() if spark.sparkContext.getCheckpointDir() else parts.persist()
+    parts = kept(parts)
     sizes, before = [], 0
     for row in sorted(parts.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()):
         sizes.append((row._p, before))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weft.operators.cut import kept as _checked
+
 PAIR = ["src_id", "tgt_id"]
 
 
@@ -59,11 +61,6 @@ def ordered(sim: DataFrame, threshold: float = 0.0, descending: bool = False) ->
     return above(sim, threshold).orderBy(first, *PAIR)
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop in the shared folder, or stay as it is where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def greedy(sim: DataFrame, threshold: float = 0.0, per_src: int = 1, per_tgt: int = 1) -> DataFrame:
     """Repeated global maximum with removal of its row and column, of equals the last cell.
 

@@ -9,14 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators import candidates as C
+from weft.operators.cut import kept as _cut
 
 PAIR = ["src_id", "tgt_id"]
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def depths(edges: DataFrame) -> DataFrame:
     """node, depth: edges on the longest way up; 0 for roots."""
     up = edges.filter("parent IS NOT NULL").select("child", "parent")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.operators import candidates as C
 from weft.operators import combination, evaluation, feedback, selection
+from weft.operators.cut import shared_folder
 from weft.plans.inputs import CELLS, MATS, ONE, REF, SIM, TWO, VOTES, Inputs
 from weft.streaming import feedback as streams
 
@@ -35,7 +36,12 @@ def near(x: Inputs):
 
 def shared(x: Inputs) -> str:
     """A new folder that executors share, for what a query writes on its way."""
-    base = x.spark.conf.get("spark.checkpoint.dir", None) or x.spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="weft-")
+    base = shared_folder(x.spark)
+    if base is None:
+        master = x.spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="weft-")
     return f"{base}/weft-{x.spark.sql('SELECT uuid()').first()[0]}"
 
 
