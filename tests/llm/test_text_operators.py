@@ -81,6 +81,15 @@ def said(rows):
     return [(r.doc_id, r.text or "") for r in rows.collect()]
 
 
+def by_id(df):
+    """All rows by id, null first: rows with one id have one text in these tables."""
+    return sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+
+
+def in_order(docs):
+    return sorted(said(docs), key=lambda r: (r[0] is not None, r[0] or 0))
+
+
 def test_exact_dedup(docs, empty):
     bare = lambda t: re.sub("[ \t-\r]", "", t)
     rows, groups = said(docs), {}
@@ -424,14 +433,14 @@ def brute_pii(t):
 
 
 def test_pii(docs, empty):
-    got = {r.doc_id: r for r in pii.find_pii(docs).collect()}
-    for i, t in said(docs):
+    got = by_id(pii.find_pii(docs))
+    for r, (i, t) in zip(got, in_order(docs), strict=True):
         want = brute_pii(t)
         base = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
-        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == n for x in want) for n in range(4)]
-        assert {(pii.KINDS[k], a, b) for a, k, b in want} <= set(spans_of(got[i].spans))
-    assert sum(len(spans_of(r.spans)) for r in got.values()) >= 4
+        assert r.doc_id == i and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[1] == n for x in want) for n in range(4)]
+        assert {(pii.KINDS[k], a, b) for a, k, b in want} <= set(spans_of(r.spans))
+    assert sum(len(spans_of(r.spans)) for r in got) >= 4
     assert pii.find_pii(empty).collect() == []
 
 
@@ -457,15 +466,15 @@ def test_pii_reliabilities_find_the_good_labeler():
 
 
 def test_secrets(docs, empty):
-    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    got = by_id(secrets.scan_secrets(docs))
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-    for i, t in said(docs):
+    for r, (i, t) in zip(got, in_order(docs), strict=True):
         want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 12]
         want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
         want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
         base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(want))
-        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(x[1] == n for x in want) for n in range(3)]
+        assert r.doc_id == i and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == n for x in want) for n in range(3)]
     assert secrets.scan_secrets(empty).collect() == []
 
 
@@ -523,9 +532,10 @@ def test_licenses_against_all_windows(spark):
 def test_chat(spark):
     schema = "conv_id long, turn long, role string, text string, node string, tree int"
     rows = [(1, 0, "system", "be [INST] kind", "x", 1), (1, 1, "user", None, "x", 1), (1, 2, "assistant", "</s><~s>[~/INST]~", "x", 1), (2, 5, "assistant", "", None, None), (3, None, None, "hm", None, None), (3, 0, "assistant", "a", None, None), (3, 0, "assistant", "a", None, None), (None, 0, "user", "lost", None, None)]
-    rows += [(4, i, ("user", "assistant")[i % 2], f"turn {i} <s>", None, None) for i in range(37)]
+    rows += [(4, i, ("user", "assistant")[i % 2], f"turn {i} <s>", None, None) for i in range(300)]
+    rows += [(5, 0, "user", LONG, None, None), (5, 1, "assistant", LONG + "</s>", None, None)]
     got = {r.conv_id: r for r in chat.chat_digests(spark.createDataFrame(rows, schema)).collect()}
-    assert set(got) == {1, 2, 3, 4}
+    assert set(got) == {1, 2, 3, 4, 5}
     for conv in got:
         own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         turns = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)

@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, table, text_of
+from weft.llm.common import released, ship, table, text_of, type_of
 from weft.llm.pretokenize import cutter
 
 #: What a worker remembers: small enough to stay beside the JVM when later stages run in it.
 CACHED_PIECES = 200_000
 CACHED_PAIRS = 200_000
+LONGEST_CACHED = 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -139,7 +140,8 @@ class Encoder(dict):
         if code is None:
             ids = self.encode_piece(piece.encode())
             code = struct.pack(f"<{len(ids)}I", *ids)
-        self[piece] = code
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = code
         return code
 
     def encode(self, text: str) -> np.ndarray:
@@ -179,8 +181,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "d
                 back = [encoder.decode(x.tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())], ["id", "token_ids", "decoded"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(released(run), "id long, token_ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(released(run), f"id {type_of(docs, id_col)}, token_ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,8 +200,8 @@ def token_digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_
                 back.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(released(run), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(released(run), f"id {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def tokenised(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:

@@ -4,7 +4,10 @@ Messages reply to messages, so a tree has one path for each leaf. Iterative
 self-joins double the length of each message's known way up in every round, so
 log2(depth) rounds give the score of every root-to-leaf path; the best branch is
 chosen, and as many joins back enumerate its messages. The joins carry ids and
-scores, never texts.
+scores, never texts, and a round works only on messages whose way up isn't known yet.
+
+A conversation's chosen path is put together in one row, as its format asks: the texts of one path
+have to fit into a task, those of a tree need not.
 
 The template is ``<s>`` and for each turn ``[INST]role[/INST]text</s>``. Inside roles
 and texts a control string gets one more tilde after its first letter, which
@@ -43,11 +46,15 @@ def best_paths(messages: DataFrame) -> DataFrame:
     most = base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     rounds = int(most).bit_length()
     step = stored(base.select("tree", "node", F.col("parent").alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"), F.lit(1).cast("long").alias("depth"), (F.col("parent").isNotNull()).alias("open")), "reply-step")
-    steps = [step]
-    for _ in range(rounds):
-        above = step.select(F.col("tree"), F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("depth").alias("_depth"), F.col("open").alias("_open"))
-        step = stored(
-            step.join(above, ["tree", "up"], "left").select(
+    done, still, ways = step.filter("up IS NULL"), step.filter("up IS NOT NULL"), []
+    for _ in range(rounds):  # a circle ends here, all else when no way leads further
+        if still.isEmpty():
+            break
+        ways.append(still.select("tree", "node", "up"))
+        known = done.unionByName(still)
+        above = known.select(F.col("tree"), F.col("node").alias("up"), F.col("up").alias("_up"), F.col("total").alias("_total"), F.col("depth").alias("_depth"), F.col("open").alias("_open"))
+        moved = stored(
+            still.join(above, ["tree", "up"], "left").select(
                 "tree",
                 "node",
                 F.col("_up").alias("up"),
@@ -57,14 +64,14 @@ def best_paths(messages: DataFrame) -> DataFrame:
             ),
             "reply-step",
         )
-        steps.append(step)
-    replied = steps[0].filter("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = step.filter(~F.col("open") & F.col("up").isNull()).join(replied, ["tree", "node"], "left_anti")
+        done, still = done.unionByName(moved.filter("up IS NULL")), moved.filter("up IS NOT NULL")
+    replied = step.filter("up IS NOT NULL").select("tree", F.col("up").alias("node")).distinct()
+    leaves = done.filter(~F.col("open")).join(replied, ["tree", "node"], "left_anti")
     path = leaves.groupBy("tree").agg(F.min_by("node", F.struct(-F.col("total"), -F.col("depth"), F.col("node"))).alias("node"))
-    for way in reversed(steps[:-1]):
-        path = path.join(way.select("tree", "node", "up"), ["tree", "node"], "left")
+    for way in reversed(ways):
+        path = path.join(way, ["tree", "node"], "left")
         path = path.select("tree", F.explode(F.array("node", "up")).alias("node")).filter("node is not null")
-    return path.join(step.select("tree", "node", "depth"), ["tree", "node"])
+    return path.join(done.select("tree", "node", "depth"), ["tree", "node"])
 
 
 def format_conversations(messages: DataFrame) -> DataFrame:

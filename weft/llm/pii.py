@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, table, text_of
+from weft.llm.common import released, ship, table, text_of, type_of
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 32
@@ -217,7 +217,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     spans has ``kind:start:end`` in code points, by start, then in the order of KINDS;
     base_sha256 is over the base spans alone. Null and empty texts have no spans; ids
-    pass through; an empty table gives no rows. Two scans, no shuffle of texts.
+    pass through, of any type; an empty table gives no rows. Two scans, no shuffle of texts.
     """
     ship(docs.sparkSession)
     accepted, _ = fit(count_codes(docs, text_col))
@@ -234,8 +234,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(base, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    schema = "id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    schema = f"id {type_of(docs, id_col)}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return rows.mapInArrow(released(run), schema).withColumnRenamed("id", id_col)
 
 

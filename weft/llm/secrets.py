@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, table, text_of
+from weft.llm.common import released, ship, table, text_of, type_of
 
 #: A query is True, a trigram, ("and", parts) or ("or", parts).
 Query = object
@@ -218,8 +218,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 columns += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base]), pa.array([",".join(s for _, s in x) for x in said])]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(released(run), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(released(run), f"id {type_of(docs, id_col)}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,12 @@ from weft.llm.pretokenize import cutter
 
 BLOCK_IDS = 1 << 16
 CACHED_PIECES = 400_000
+#: Longer pieces aren't remembered, so that the memory is bounded in bytes.
+LONGEST_CACHED = 64
+#: Parts at most; the driver keeps one number for each.
+MOST_PARTS = 1 << 20
+#: Bytes of input, as stored, that one part encodes.
+PART_BYTES = 32 << 20
 BLOCKS = "part int, block long, first long, n_ids long, bits int, doc_ids array<long>, offsets array<long>, payload binary"
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -107,7 +113,8 @@ class Pieces(dict):
         if code is None:
             ids = [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             code = struct.pack(f"<{len(ids)}I", *ids)
-        self[piece] = code
+        if len(piece) <= LONGEST_CACHED:
+            self[piece] = code
         return code
 
     def encode(self, text: str) -> np.ndarray:
@@ -172,6 +179,11 @@ def _blocks(path: str, pattern: str, end_id: int):
     return run
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The size that Spark's statistics give a table: of files their bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs and write them as a token file set, in ascending order of id.
 
@@ -184,7 +196,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, stored_bytes(docs) // PART_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
