@@ -79,7 +79,7 @@ def register(add) -> None:
     add("M15_decided", lambda x: feedback.decided(x.counts), "SELECT src_id, tgt_id, CASE WHEN pos > neg THEN 1 ELSE 0 END::DOUBLE AS similarity FROM counts WHERE pos <> neg", VOTES)
     add("M15_applied", lambda x: rounded(feedback.apply_votes(x.counts.select("src_id", "tgt_id", "similarity"), x.counts)), "SELECT src_id, tgt_id, round(CASE WHEN pos > neg THEN 1 WHEN pos < neg THEN 0 ELSE similarity END, 6)::DOUBLE AS similarity FROM counts", VOTES)
     add("M15_stream", lambda x: streamed(x, "complete"), "SELECT src_id, tgt_id, pos, neg FROM counts", VOTES)
-    add("M15_stream_volume", lambda x: streamed(x, "append"))
+    add("M15_stream_volume", lambda x: streamed(x, "append"), "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 10 minutes")
     add("M16_euclidean", lambda x: rounded(feedback.euclidean_propagation(x.sim, near(x))), f"WITH {SIGN}, {NEAR} SELECT src_id, tgt_id, round(coalesce(label, similarity), 6)::DOUBLE AS similarity FROM sim LEFT JOIN nr USING (src_id, tgt_id)", SIM, MATS, REF)
     add("M17_log_distance", lambda x: rounded(feedback.log_propagation(x.sim, near(x))), f"WITH {SIGN}, {NEAR} SELECT src_id, tgt_id, round(CASE WHEN label IS NULL THEN similarity ELSE greatest(0, least(1, similarity + CASE WHEN label = 1 THEN 1.2 ELSE -1.2 END * ln(2 - d))) END, 6)::DOUBLE AS similarity FROM sim LEFT JOIN nr USING (src_id, tgt_id)", SIM, MATS, REF)
     add("M18_regression", lambda x: rounded(feedback.regression(signatures(x), labelled(x), M)))

@@ -30,6 +30,36 @@ UP = "up AS (SELECT child AS low, parent AS high, 1 AS distance FROM {0} WHERE p
 COUNTS = "SELECT id, w, count(*) AS n FROM (SELECT id, unnest(string_split(label, ' ')) AS w FROM {0}) GROUP BY 1, 2"
 
 
+def until_still(start: str, rounds: int = 10, least: float = 0.01) -> str:
+    """CTEs of flooding over pg from a start, up to `fixed`: the first round that changes less than `least`, or the last."""
+    steps = [f"r0 AS MATERIALIZED ({start})"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS MATERIALIZED (SELECT src_id, tgt_id, s / max(s) OVER () AS s FROM (SELECT src_id, tgt_id, sum(s) AS s FROM (SELECT * FROM r{i - 1} UNION ALL SELECT a2, b2, s * w FROM r{i - 1} JOIN pg ON a1 = src_id AND b1 = tgt_id) GROUP BY 1, 2))")
+    gaps = " UNION ALL ".join(f"SELECT {i} AS i, sqrt(sum(pow(coalesce(x.s, 0) - coalesce(y.s, 0), 2))) AS gap FROM r{i} x FULL JOIN r{i - 1} y USING (src_id, tgt_id)" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, * FROM r{i}" for i in range(1, rounds + 1))
+    return ", ".join([*steps, f"gaps AS MATERIALIZED ({gaps})", f"fixed AS (SELECT src_id, tgt_id, s FROM ({every}) WHERE i = (SELECT coalesce(min(i) FILTER (gap < {least}), {rounds}) FROM gaps))"])
+
+
+LEV = "(1 - least(levenshtein({0}, {1}), least(length({0}), length({1}))) / least(length({0}), length({1})))"
+LABELS = f"""WITH p AS (SELECT one.id AS src_id, two.id AS tgt_id, string_split(one.label, ' ') AS a, string_split(two.label, ' ') AS b FROM one CROSS JOIN two),
+q AS (SELECT src_id, tgt_id, {LEV.format('a[1]', 'b[1]')} AS own, list_max(flatten(list_transform(a, lambda w: list_transform(b, lambda v: {LEV.format('w', 'v')})))) AS best FROM p)
+SELECT src_id, tgt_id, round(CASE WHEN best > own THEN (own + best) / 2 ELSE own END, 6) AS similarity FROM q"""
+RECORDS = """WITH n AS (SELECT matcher, src_id, tgt_id, similarity / max(similarity) OVER (PARTITION BY matcher, src_id) AS s FROM mats),
+l AS (SELECT src_id, tgt_id, sum(CASE matcher WHEN 'N' THEN 2.0 ELSE 1.0 END * s) / 4 AS s FROM n GROUP BY 1, 2)
+SELECT src_id, tgt_id, round(s, 6) AS similarity FROM l WHERE s > 0.5 QUALIFY row_number() OVER (PARTITION BY src_id ORDER BY s DESC, tgt_id) = 1"""
+MIDDLES = f"""WITH {DICT}, p AS (SELECT string_split(a.form, ' ') AS x, string_split(b.form, ' ') AS y FROM dict a JOIN dict b ON a.synset = b.synset AND a.form < b.form),
+h AS (SELECT *, coalesce(list_filter(range(least(len(x), len(y))), lambda i: x[i + 1] <> y[i + 1])[1], least(len(x), len(y))) AS head FROM p),
+t AS (SELECT *, coalesce(list_filter(range(least(len(x), len(y)) - head), lambda i: x[len(x) - i] <> y[len(y) - i])[1], least(len(x), len(y)) - head) AS tail FROM h)
+SELECT DISTINCT array_to_string(x[head + 1 : len(x) - tail], ' ') AS term, array_to_string(y[head + 1 : len(y) - tail], ' ') AS synonym FROM t
+WHERE len(x) > head + tail AND len(y) > head + tail AND head + tail > 0"""
+AROUND = "nr{1} AS (SELECT child AS a, parent AS b FROM {0}_edges WHERE parent IS NOT NULL UNION SELECT parent, child FROM {0}_edges WHERE parent IS NOT NULL UNION SELECT x.child, y.child FROM {0}_edges x JOIN {0}_edges y ON x.parent = y.parent AND x.child <> y.child), d{1} AS (SELECT id, label FROM {0} UNION ALL SELECT a, label FROM nr{1} JOIN {0} ON id = b)"
+PROFILED = f"""WITH {AROUND.format('one', 1)}, {AROUND.format('two', 2)},
+cnt AS (SELECT side, id, w, count(*) AS n FROM (SELECT 's' AS side, id, unnest(string_split(label, ' ')) AS w FROM d1 UNION ALL SELECT 't', id, unnest(string_split(label, ' ')) FROM d2) GROUP BY 1, 2, 3),
+df AS (SELECT w, count(*) AS df FROM cnt GROUP BY 1), nn AS (SELECT (SELECT count(*) FROM one) + (SELECT count(*) FROM two) AS n),
+wt AS (SELECT side, id, w, cnt.n * ln(1 + nn.n / df) AS v FROM cnt JOIN df USING (w) CROSS JOIN nn), u AS (SELECT side, id, w, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM wt)
+SELECT a.id AS src_id, b.id AS tgt_id, round(sum(a.v * b.v), 6) AS similarity FROM u a JOIN u b ON a.side = 's' AND b.side = 't' AND a.w = b.w GROUP BY 1, 2"""
+
+
 def register(add) -> None:
     # B: filters
     add("B1_threshold", lambda x: selection.at_least(x.sim, T), f"SELECT * FROM sim WHERE similarity >= {T}", SIM)
@@ -70,7 +100,7 @@ def register(add) -> None:
         FROM (SELECT one.id AS src_id, two.id AS tgt_id, replace(lower(one.comment), '#', '#') AS ca, lower(two.comment) AS cb, 1 - least(levenshtein(one.label, two.label), least(length(one.label), length(two.label))) / least(length(one.label), length(two.label)) AS l FROM one CROSS JOIN two)""", ONE, TWO)
     corpus = f"cnt AS (SELECT 's' AS side, * FROM ({COUNTS.format('one')}) UNION ALL SELECT 't', * FROM ({COUNTS.format('two')})), df AS (SELECT w, count(*) AS df FROM cnt GROUP BY 1), nn AS (SELECT (SELECT count(*) FROM one) + (SELECT count(*) FROM two) AS n), wt AS (SELECT side, id, w, cnt.n * ln(1 + nn.n / df) AS v FROM cnt JOIN df USING (w) CROSS JOIN nn), u AS (SELECT side, id, w, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM wt)"
     add("F3_vector_words", lambda x: rounded(matchers.vector_words(words(x.one), words(x.two))), f"WITH {corpus} SELECT a.id AS src_id, b.id AS tgt_id, round(sum(a.v * b.v), 6) AS similarity FROM u a JOIN u b ON a.side = 's' AND b.side = 't' AND a.w = b.w GROUP BY 1, 2", ONE, TWO)
-    add("F4_profiled_words", lambda x: rounded(matchers.vector_words(matchers.virtual_documents(x.one, x.one_edges), matchers.virtual_documents(x.two, x.two_edges))))
+    add("F4_profiled_words", lambda x: rounded(matchers.vector_words(matchers.virtual_documents(x.one, x.one_edges), matchers.virtual_documents(x.two, x.two_edges))), PROFILED, ONE, TWO)
     add("F5_pairwise_words", lambda x: rounded(matchers.token_similarity(words(x.one), words(x.two), kind="dice")), "SELECT one.id AS src_id, two.id AS tgt_id, round(2 * len(list_intersect(string_split(one.label, ' '), string_split(two.label, ' '))) / (len(string_split(one.label, ' ')) + len(string_split(two.label, ' '))), 6) AS similarity FROM one JOIN two ON len(list_intersect(string_split(one.label, ' '), string_split(two.label, ' '))) > 0", ONE, TWO)
     add("F6_advanced", lambda x: rounded(matchers.advanced_similarity(x.one, x.two)))
     add("F7_synonyms", lambda x: matchers.lexical_synonyms(x.one, x.two, dictionary(x)), f"WITH {DICT} SELECT DISTINCT one.id AS src_id, two.id AS tgt_id, CAST(0.95 AS DOUBLE) AS similarity FROM one JOIN dict a ON one.label = a.form JOIN dict b ON a.synset = b.synset JOIN two ON two.label = b.form", ONE, TWO)
@@ -110,8 +140,9 @@ def register(add) -> None:
     add("G7_graph", lambda x: pcg(x).withColumn("w", F.round("w", 6)), f"WITH {edges} SELECT a1, b1, a2, b2, round(w, 6)::DOUBLE AS w FROM pg", ONE, TWO)
     rounds = "".join(f", r{i} AS (SELECT src_id, tgt_id, s / max(s) OVER () AS s FROM (SELECT src_id, tgt_id, sum(s) AS s FROM (SELECT * FROM r{i - 1} UNION ALL SELECT a2, b2, s * w FROM r{i - 1} JOIN pg ON a1 = src_id AND b1 = tgt_id) GROUP BY 1, 2))" for i in range(1, 4))
     add("G7_flooding", lambda x: rounded(structure.flood(pcg(x), x.cells, 3, 0.0)), f"WITH {edges}, r0 AS (SELECT src_id, tgt_id, similarity AS s FROM cells){rounds} SELECT src_id, tgt_id, round(s, 6) AS similarity FROM r3", ONE, TWO, CELLS)
-    add("G8_flooding_independent", lambda x: rounded(structure.relative(structure.flood(pcg(x), matchers.constant(x.one, x.two, 1.0)))))
-    add("G9_flooding_anchored", lambda x: rounded(structure.flood(pcg(x), x.cells.filter("similarity >= 0.5"))))
+    every, anchors = "SELECT one.id AS src_id, two.id AS tgt_id, 1.0::DOUBLE AS s FROM one CROSS JOIN two", "SELECT src_id, tgt_id, similarity AS s FROM cells WHERE similarity >= 0.5"
+    add("G8_flooding_independent", lambda x: rounded(structure.relative(structure.flood(pcg(x), matchers.constant(x.one, x.two, 1.0)))), f"WITH {edges}, {until_still(every)} SELECT src_id, tgt_id, round(CASE WHEN max(s) OVER (PARTITION BY src_id) > 0 THEN s / max(s) OVER (PARTITION BY src_id) ELSE 0 END, 6) AS similarity FROM fixed", ONE, TWO)
+    add("G9_flooding_anchored", lambda x: rounded(structure.flood(pcg(x), x.cells.filter("similarity >= 0.5"))), f"WITH {edges}, {until_still(anchors)} SELECT src_id, tgt_id, round(s, 6) AS similarity FROM fixed", ONE, TWO, CELLS)
     add("G12_structural_evidence", lambda x: rounded(structure.structural_evidence(x.cells, x.one_edges, x.two_edges, 0.5)))
     add("G16_reference_integration", lambda x: selection.integrate_reference(x.sim.filter("similarity < 1.0"), done(x)), f"WITH {mapped} SELECT * FROM sim WHERE similarity < 1.0 AND src_id NOT IN (SELECT src_id FROM m) AND tgt_id NOT IN (SELECT tgt_id FROM m) UNION ALL SELECT * FROM m", SIM)
     # H: combination and selection
@@ -147,12 +178,12 @@ def register(add) -> None:
     tags = "tag AS (SELECT id, unnest(string_split(label, ' ')) AS form FROM one)"
     add("K1_related", lambda x: lexicon.related_synsets(tagged(x)), f"WITH {tags} SELECT DISTINCT a.id, b.id AS related FROM tag a JOIN tag b ON a.form = b.form AND a.id <> b.id", ONE)
     add("K3_dictionary", lambda x: lexicon.dictionary_lexicon(x.one.select("id", F.col("label").alias("form")), dictionary(x)), f"WITH {DICT} SELECT DISTINCT id, b.form FROM one JOIN dict a ON label = a.form JOIN dict b USING (synset) UNION SELECT id, label FROM one", ONE)
-    add("K4_term_synonyms", lambda x: lexicon.term_synonyms(dictionary(x).select(F.col("synset").alias("id"), "form")))
+    add("K4_term_synonyms", lambda x: lexicon.term_synonyms(dictionary(x).select(F.col("synset").alias("id"), "form")), MIDDLES)
     add("K5_extended", lambda x: lexicon.extended(tagged(x)), f"WITH {tags}, r AS (SELECT DISTINCT a.id, b.id AS o FROM tag a JOIN tag b ON a.form = b.form) SELECT DISTINCT r.id, tag.form FROM r JOIN tag ON tag.id = r.o", ONE)
     add("K6_lookup", lambda x: lexicon.lookup(tagged(x), "^R.D$"), f"WITH {tags} SELECT * FROM tag WHERE regexp_matches(form, '(?i)^R.D$')", ONE)
     # L: instances
     add("L1_statements", lambda x: instances.statements(x.table("customer"), "c_custkey", ["c_name", "c_mktsegment"]), "SELECT c_custkey AS id, 'c_name' AS predicate, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM customer")
-    add("L2_labels", lambda x: rounded(C.all_pairs(words(x.one).withColumn("l", F.element_at("words", 1)), words(x.two).withColumn("l", F.element_at("words", 1))).select("src_id", "tgt_id", instances.label_score(F.col("src_l"), F.col("src_words"), F.col("tgt_l"), F.col("tgt_words")).alias("similarity"))))
+    add("L2_labels", lambda x: rounded(C.all_pairs(words(x.one).withColumn("l", F.element_at("words", 1)), words(x.two).withColumn("l", F.element_at("words", 1))).select("src_id", "tgt_id", instances.label_score(F.col("src_l"), F.col("src_words"), F.col("tgt_l"), F.col("tgt_words")).alias("similarity"))), LABELS, ONE, TWO)
     add("L5_normalised", lambda x: instances.normalised_by_best(x.mats).withColumn("similarity", F.round("similarity", 6)), "SELECT matcher, src_id, tgt_id, round(similarity / max(similarity) OVER (PARTITION BY matcher, src_id), 6) AS similarity FROM mats", MATS)
-    add("L5_match", lambda x: rounded(instances.match_records(x.mats, WEIGHTS, 0.5)))
+    add("L5_match", lambda x: rounded(instances.match_records(x.mats, WEIGHTS, 0.5)), RECORDS, MATS)
     add("L6_sole_candidate", lambda x: rounded(instances.sole_candidate_bonus(selection.transpose(x.sim))), "SELECT tgt_id AS src_id, src_id AS tgt_id, round(CASE WHEN count(*) OVER (PARTITION BY tgt_id) = 1 THEN least(1.0, similarity + 0.2) ELSE similarity END, 6) AS similarity FROM sim", SIM)

@@ -120,7 +120,8 @@ def register(add) -> None:
     add("A33_tasks", again(lambda x, p: corpora.tasks_json(x.table("nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("source"), F.lit("t").alias("target"), F.lit("base").alias("matcher"), F.lit("greedy").alias("selector"), F.lit("o").alias("output"))).write.text(p), corpora.read_tasks), "SELECT n_nationkey AS place, n_name AS source, 't' AS target, 'base' AS matcher, 'greedy' AS selector, 'o' AS output FROM nation")
     news = lambda x: x.table("documents").select(F.concat(F.lit('<DOC id="'), "doc_id", F.lit('" type="'), "lang", F.lit('"><HEADLINE>'), "source", F.lit("</HEADLINE><TEXT>"), "n_chars", F.lit("</TEXT></DOC>")).alias("value"))
     add("A35_sgml", again(lambda x, p: news(x).write.text(p), corpora.read_sgml), "SELECT doc_id::STRING AS id, lang AS kind, source AS headline, n_chars::STRING AS text FROM documents")
-    add("A35_html", lambda x: corpora.html_text(x.table("pages")).select("page_id", F.length("title").alias("n_title"), F.length("plain").alias("n_text")))
+    bare = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')"
+    add("A35_html", lambda x: corpora.html_text(x.table("pages")).select("page_id", F.length("title").cast("long").alias("n_title"), F.length("plain").cast("long").alias("n_text"), F.sha2("plain", 256).alias("plain")), rf"SELECT page_id, length(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))) AS n_title, length(trim({bare})) AS n_text, sha256(trim({bare})) AS plain FROM pages")
     add("A36_vectors", again(lambda x, p: corpora.write_vectors(x.table("embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec")), p), lambda s, p: corpora.read_vectors(s, p).select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))), "SELECT 'w' || vec_id AS word, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings")
     add("A37_vocabulary", again(lambda x, p: corpora.write_vocabulary(x.table("documents").groupBy(F.col("source").alias("word")).agg(F.count(F.lit(1)).alias("cnt")), p), corpora.read_vocabulary), "SELECT source AS word, count(*) AS cnt FROM documents GROUP BY 1")
     add("A38_tokenised", lambda x: corpora.tokenised(x.table("documents")).select("doc_id", F.size("tokens").cast("long").alias("n"), F.sha2("line", 256).alias("line")), r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS line FROM t WHERE len(w) > 10")
