@@ -226,3 +226,32 @@ def test_sampling_and_subsampling(spark):
     assert upper == {"a": pytest.approx(0.8), "b": pytest.approx(0.9), "c": pytest.approx(1.0)}
     keep = spark.range(1).select(embedding.keep_probability(F.lit(100), F.lit(1000), 0.001)).first()[0]
     assert keep == pytest.approx((math.sqrt(100) + 1) * 0.01)
+
+
+def test_sibling_contribution_over_several_parents(spark):
+    """Against the definition, with nodes of several parents, none and no siblings."""
+    import random
+
+    from weft.operators import structure
+
+    own = random.Random(4)
+    for _ in range(4):
+        sides = []
+        for n in (7, 8):
+            edges = {(c, p) for c in range(1, n) for p in own.sample(range(c), min(c, own.randrange(1, 3)))}
+            sides.append(sorted(edges, key=str) + [(0, None)])
+        cells = {(s, t): round(own.random(), 3) for s in range(7) for t in range(8) if own.random() < 0.8}
+
+        def siblings(edges, x):
+            parents = {p for c, p in edges if c == x and p is not None}
+            return {c for c, p in edges if p in parents and c != x}
+
+        want = {}
+        for (s, t), v in cells.items():
+            a, b = siblings(sides[0], s), siblings(sides[1], t)
+            mean = sum(max(cells.get((x, y), 0.0) for y in b) for x in a) / len(a) if a and b else None
+            want[s, t] = v if mean is None else 0.75 * v + 0.25 * mean
+        frames = [spark.createDataFrame(e, "child long, parent long") for e in sides]
+        sim = spark.createDataFrame([(*k, v) for k, v in cells.items()], "src_id long, tgt_id long, similarity double")
+        got = {(r.src_id, r.tgt_id): r.similarity for r in structure.sibling_contribution(sim, *frames).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -207,16 +207,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 30, id_col: str = "vec_id", vec: str = "embedding", sense: str | None = None) -> DataFrame:
     """query_id, id, cosine, rank: the k vectors of greatest absolute cosine to each query, itself excluded.
 
+    With a sense column (named as it is in the result) k vectors of each sense are given.
+
     queries is a set that the caller bounds; it is compared block by block with all
     vectors, and each task keeps its own k best before any row moves.
     """
-    a = normalised(vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")), "v")
+    senses = [sense] if sense else []
+    a = normalised(vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v"), *senses), "v")
     b = normalised(queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("q")), "q")
-    scored = a.crossJoin(b).filter("id <> query_id").select("query_id", "id", F.abs(dot(F.col("v"), F.col("q"))).alias("cosine"))
-    w = W.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
+    scored = a.crossJoin(b).filter("id <> query_id").select("query_id", "id", *senses, F.abs(dot(F.col("v"), F.col("q"))).alias("cosine"))
+    w = W.partitionBy("query_id", *senses).orderBy(F.desc("cosine"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

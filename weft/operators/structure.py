@@ -6,6 +6,7 @@ edges are (child, parent), a null parent for a root; a missing cell is 0.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.operators import candidates as C
@@ -78,15 +79,25 @@ def path_inheritance(sim: DataFrame, up_src: DataFrame, up_tgt: DataFrame, mcp:
 
 
 def sibling_contribution(sim: DataFrame, src_edges: DataFrame, tgt_edges: DataFrame, mcp: float = 0.75) -> DataFrame:
-    """mcp * sim + (1 - mcp) * mean over source siblings of the best target sibling; as it is without siblings."""
+    """mcp * sim + (1 - mcp) * mean over source siblings of the best target sibling; as it is without siblings.
+
+    The two best cells of a source below each target parent are enough to know its best other than any
+    child, so pairs of siblings aren't made on the target's side.
+    """
     a = C.siblings(src_edges).select(F.col("node").alias("src_id"), F.col("sibling").alias("ss"))
-    b = C.siblings(tgt_edges).select(F.col("node").alias("tgt_id"), F.col("sibling").alias("st"))
     n = a.groupBy("src_id").agg(F.count(F.lit(1)).alias("n"))
-    near = sim.select(F.col("src_id").alias("ss"), F.col("tgt_id").alias("st"), F.col("similarity").alias("near"))
-    best = sim.select(*PAIR).join(a, "src_id").join(b, "tgt_id").join(near, ["ss", "st"], "left").groupBy(*PAIR, "ss").agg(F.coalesce(F.max("near"), F.lit(0.0)).alias("m"))
-    mean = best.groupBy(*PAIR).agg(F.sum("m").alias("s")).join(n, "src_id").select(*PAIR, (F.col("s") / F.col("n")).alias("mean"))
-    value = mcp * F.col("similarity") + (1 - mcp) * F.col("mean")
-    return sim.join(mean, PAIR, "left").select(*PAIR, F.coalesce(value, "similarity").alias("similarity"))
+    below = _sides(src_edges, tgt_edges)[1]
+    families = below.groupBy("pt").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("pt")
+    has_sibling = below.join(families, "pt", "left_semi").select("tgt_id").distinct().withColumn("more", F.lit(True))
+    near = sim.select(F.col("src_id").alias("ss"), F.col("tgt_id").alias("st"), F.col("similarity").alias("near")).join(below.withColumnRenamed("tgt_id", "st"), "st")
+    first = W.partitionBy("ss", "pt").orderBy(F.desc("near"), "st")
+    top = near.withColumn("i", F.row_number().over(first)).filter("i <= 2")
+    best = top.join(below, "pt").filter("st <> tgt_id").groupBy("ss", "tgt_id").agg(F.max("near").alias("m"))
+    sums = a.join(best, "ss").groupBy(*PAIR).agg(F.sum("m").alias("s"))
+    out = sim.join(n, "src_id", "left").join(has_sibling, "tgt_id", "left").join(sums, PAIR, "left")
+    mean = F.coalesce("s", F.lit(0.0)) / F.col("n")
+    value = F.when(F.col("n").isNotNull() & F.col("more"), mcp * F.col("similarity") + (1 - mcp) * mean).otherwise(F.col("similarity"))
+    return out.select(*PAIR, value.alias("similarity"))
 
 
 def boost_mutual_best(sim: DataFrame, factor: float = 1.1) -> DataFrame:

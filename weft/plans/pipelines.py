@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from weft.functions import strings as S
 from weft.functions.normalise import normalise
 from weft.operators import combination, evaluation, matchers, selection, structure
+from weft.operators.cut import kept
 
 PAIR = ["src_id", "tgt_id"]
 #: (source concepts, target concepts) -> sim
@@ -118,7 +119,7 @@ def run(source: Side, target: Side, plan: Plan) -> DataFrame:
     """An alignment: src_id, tgt_id, similarity."""
     scored = scores(source, target, plan.names)
     if plan.weights is None:
-        scored = scored.persist()
+        scored = kept(scored)
         sim = combination.node_weighted(scored, quality_weights(scored, target.concepts.count()))
     else:
         sim = combination.linear(scored, plan.weights)

@@ -82,8 +82,15 @@ def register(add) -> None:
     add("C8_mediated", lambda x: rounded(C.mediated(nations(x, "supplier", ("s_suppkey", "s_nationkey")), nations(x, "nation", ("n_nationkey", "n_regionkey")))), "SELECT s_suppkey AS src_id, n_regionkey AS tgt_id, CAST(0.81 AS DOUBLE) AS similarity FROM supplier JOIN nation ON s_nationkey = n_nationkey")
     graph = lambda e, x: e.filter("parent IS NOT NULL").select(F.lit("subClassOf").alias("label"), F.col("child").alias("from_id"), F.col("parent").alias("to_id"))
     add("C9_edge_label_join", lambda x: C.label_join(graph(x.one_edges, x), graph(x.two_edges, x)), "SELECT 'subClassOf' AS label, a.child AS from_a, a.parent AS to_a, b.child AS from_b, b.parent AS to_b FROM one_edges a CROSS JOIN two_edges b WHERE a.parent IS NOT NULL AND b.parent IS NOT NULL", ONE, TWO)
-    leaves = "start AS (SELECT one.id AS a, two.id AS b FROM one JOIN two ON string_split(one.label, ' ')[1] = 'small' AND two.label LIKE 'ring %')"
-    add("C10_neighbour_pairs", lambda x: C.reachable_pairs(C.label_join(graph(x.one_edges, x), graph(x.two_edges, x)), x.one.filter("label LIKE 'small %'").select(F.col("id").alias("a")).crossJoin(x.two.filter("label LIKE 'ring %'").select(F.col("id").alias("b")))), f"WITH {leaves}, r AS (SELECT a, b FROM start UNION SELECT x.parent, y.parent FROM r JOIN one_edges x ON x.child = r.a JOIN two_edges y ON y.child = r.b WHERE x.parent IS NOT NULL AND y.parent IS NOT NULL) SELECT * FROM r", ONE, TWO)
+    nouns = "start AS (SELECT one.id AS a, two.id AS b FROM one JOIN two ON string_split(one.label, ' ')[-1] = string_split(two.label, ' ')[1])"
+    noun = lambda c, at: c.select("id", F.element_at(S.tokens(F.col("label")), at).alias("k"))
+    add(
+        "C10_neighbour_pairs",
+        lambda x: C.reachable_pairs(C.label_join(graph(x.one_edges, x), graph(x.two_edges, x)), C.key_join(noun(x.one, -1), noun(x.two, 1), "k").select(F.col("src_id").alias("a"), F.col("tgt_id").alias("b"))),
+        f"WITH {nouns}, r AS (SELECT a, b FROM start UNION SELECT x.parent, y.parent FROM r JOIN one_edges x ON x.child = r.a JOIN two_edges y ON y.child = r.b WHERE x.parent IS NOT NULL AND y.parent IS NOT NULL) SELECT * FROM r",
+        ONE,
+        TWO,
+    )
     add("C11_candidates", lambda x: instances.candidates(words(x.one), words(x.two), "words"), "SELECT one.id AS src_id, two.id AS tgt_id FROM one JOIN two ON len(list_intersect(string_split(one.label, ' '), string_split(two.label, ' '))) > 0", ONE, TWO)
     add("C12_shared_predicates", lambda x: rounded(C.shared_predicates(instances.statements(x.table("supplier"), "s_suppkey", ["s_nationkey"]).withColumn("predicate", F.lit("n")), instances.statements(x.table("nation").withColumn("k", F.col("n_nationkey")), "n_nationkey", ["k"]).withColumn("predicate", F.lit("n")), C.all_pairs(x.table("supplier").select(F.col("s_suppkey").alias("id")), x.table("nation").select(F.col("n_nationkey").alias("id"))), S.equality)), "SELECT s_suppkey AS src_id, n_nationkey AS tgt_id, CAST(s_nationkey = n_nationkey AS DOUBLE) AS similarity FROM supplier CROSS JOIN nation")
     add("C13_closure", lambda x: C.closure(x.one_edges), f"WITH {UP.format('one_edges')} SELECT low, high, min(distance) AS distance FROM up GROUP BY 1, 2", ONE)

@@ -67,7 +67,8 @@ def register(add) -> None:
     add("C15_restrictions", lambda x: C.restricted_classes(x.spark.sql("SELECT concat('c', s_suppkey) AS s, 'subClassOf' AS p, concat('r', s_suppkey) AS o FROM {t} UNION ALL SELECT concat('r', s_suppkey), 'onProperty', 'nation' FROM {t} UNION ALL SELECT concat('r', s_suppkey), 'hasValue', cast(s_nationkey AS string) FROM {t}", t=x.table("supplier"))), "SELECT 'c' || s_suppkey AS class, 'nation' AS property, s_nationkey::STRING AS filler FROM supplier")
     add("C16_third", lambda x: C.inferred_by_third(x.one.select(F.col("id").alias("src_id"), F.col("id").alias("tgt_id")), x.one_edges, x.one, x.one), "SELECT parent AS src_id, child AS tgt_id, '>' AS relation FROM one_edges WHERE parent IS NOT NULL", ONE)
     # D, E
-    add("D14_corpus_cosine", lambda x: rounded(matchers.vector_words(*(c.select("id", F.split("comment", "#").alias("words")).filter("id > 0") for c in (x.one, x.two)))))
+    comments = "cnt AS (SELECT side, id, w, count(*) AS n FROM (SELECT 's' AS side, id, unnest(string_split(comment, '#')) AS w FROM one UNION ALL SELECT 't', id, unnest(string_split(comment, '#')) FROM two) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM cnt GROUP BY 1), nn AS (SELECT (SELECT count(*) FROM one) + (SELECT count(*) FROM two) AS n), wt AS (SELECT side, id, w, cnt.n * ln(1 + nn.n / df) AS v FROM cnt JOIN df USING (w) CROSS JOIN nn), u AS (SELECT side, id, w, v / sqrt(sum(v * v) OVER (PARTITION BY side, id)) AS v FROM wt)"
+    add("D14_corpus_cosine", lambda x: rounded(matchers.vector_words(*(c.select("id", F.split("comment", "#").alias("words")) for c in (x.one, x.two)))), f"WITH {comments} SELECT a.id AS src_id, b.id AS tgt_id, round(sum(a.v * b.v), 6) AS similarity FROM u a JOIN u b ON a.side = 's' AND b.side = 't' AND a.w = b.w GROUP BY 1, 2", ONE, TWO)
     add("E7_treated", lambda x: x.table("part").select("p_partkey", F.lower(N.separate_words(F.concat("p_type", F.lit("-"), "p_brand"))).alias("t")), "SELECT p_partkey, lower(p_type || ' ' || p_brand) AS t FROM part")
     add("E13_function_words", lambda x: x.table("documents").select("doc_id", F.size(N.function_words(F.split(F.lower("text"), " "))).cast("long").alias("n")), "SELECT doc_id, len(list_filter(string_split(lower(text), ' '), lambda w: w IN ('at', 'by', 'for', 'from', 'in', 'of', 'on', 'to', 'with', 'is', 'has'))) AS n FROM documents")
     add("E17_synonym_test", lambda x: x.one.select(F.col("label").alias("a")).crossJoin(x.two.select(F.col("label").alias("b"))).join(dictionary(x).select(F.col("form").alias("a"), "synset"), "a").join(dictionary(x).select(F.col("form").alias("b"), "synset"), ["b", "synset"]).select("a", "b").distinct(), f"WITH {DICT} SELECT DISTINCT one.label AS a, two.label AS b FROM one JOIN dict x ON x.form = one.label JOIN dict y USING (synset) JOIN two ON two.label = y.form", ONE, TWO)

@@ -27,5 +27,9 @@ def register(add) -> None:
     queries = lambda x: x.table("embeddings").filter("vec_id % 50 = 0")
     unit = "u AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda z: z::DOUBLE * z)))) AS v FROM embeddings)"
     add("N11_neighbours", lambda x: V.neighbours(x.table("embeddings"), queries(x), 30).select("query_id", "id", F.round("cosine", 6).alias("cosine")), f"WITH {unit} SELECT q.vec_id AS query_id, u.vec_id AS id, round(abs(list_dot_product(q.v, u.v)), 6) AS cosine FROM u q JOIN u ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(list_dot_product(q.v, u.v)) DESC, u.vec_id) <= 30")
-    add("N11_mean_query", lambda x: V.mean_query(queries(x).select("embedding"), "embedding", 64).select(F.posexplode("embedding").alias("i", "v")).select(F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v")), f"WITH {unit} SELECT i - 1 AS i, round(avg(v[i]), 6) AS v FROM (SELECT v, unnest(range(1, 65)) AS i FROM u WHERE vec_id % 50 = 0) GROUP BY 1")
-    add("N12_by_sense", lambda x: V.neighbours(x.table("embeddings").filter("label = 0"), queries(x), 10).select("query_id", "id", F.round("cosine", 6).alias("cosine")), f"WITH {unit} SELECT q.vec_id AS query_id, u.vec_id AS id, round(abs(list_dot_product(q.v, u.v)), 6) AS cosine FROM u q JOIN u ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id WHERE u.vec_id IN (SELECT vec_id FROM embeddings WHERE label = 0) QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(list_dot_product(q.v, u.v)) DESC, u.vec_id) <= 10")
+    add("N11_mean_query", lambda x: V.mean_query(x.table("embeddings").select("embedding"), "embedding", 64).select(F.posexplode("embedding").alias("i", "v")).select(F.col("i").cast("long").alias("i"), F.round("v", 6).alias("v")), f"WITH {unit} SELECT i - 1 AS i, round(avg(v[i]), 6) AS v FROM (SELECT v, unnest(range(1, 65)) AS i FROM u) GROUP BY 1")
+    add(
+        "N12_by_sense",
+        lambda x: V.neighbours(x.table("embeddings"), queries(x), 10, sense="label").select("query_id", "label", "id", F.round("cosine", 6).alias("cosine")),
+        f"WITH {unit.replace('SELECT vec_id,', 'SELECT vec_id, label,')} SELECT q.vec_id AS query_id, u.label, u.vec_id AS id, round(abs(list_dot_product(q.v, u.v)), 6) AS cosine FROM u q JOIN u ON q.vec_id % 50 = 0 AND q.vec_id <> u.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id, u.label ORDER BY abs(list_dot_product(q.v, u.v)) DESC, u.vec_id) <= 10",
+    )
