@@ -49,7 +49,11 @@ def register(add) -> None:
     add("D16_subsequence", measured(S.subsequence))
     add("D17_multiset_jaccard", measured(lambda a, b: S.multiset_jaccard(S.tokens(a), S.tokens(b))), sql(f"{BOTH} / (len({WORDS_A}) + len({WORDS_B}))"), ONE, TWO)
     add("D18_person_name", measured(lambda a, b: S.person_name_similarity(S.tokens(a), S.tokens(b))))
-    add("D19_literal", lambda x: x.table("part").select("p_size", "p_retailprice").distinct().select("p_size", "p_retailprice", S.literal_similarity(F.col("p_size").cast("string"), F.col("p_size").cast("double").cast("string")).alias("similarity")), "SELECT DISTINCT p_size, p_retailprice, CAST(1 AS DOUBLE) AS similarity FROM part")
+    add(
+        "D19_literal",
+        lambda x: x.table("part").select("p_size", "p_retailprice").distinct().select("p_size", "p_retailprice", F.round(S.literal_similarity(F.col("p_size").cast("string"), F.floor("p_retailprice").cast("string"), S.longest_edit_similarity), 6).alias("similarity")),
+        "WITH t AS (SELECT DISTINCT p_size, p_retailprice, format('{:.2f}', p_size::DOUBLE) AS a, format('{:.2f}', floor(p_retailprice)::DOUBLE) AS b FROM part) SELECT p_size, p_retailprice, CASE WHEN a = b THEN 1.0 ELSE round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) END::DOUBLE AS similarity FROM t",
+    )
     add("D20_keywords", measured(lambda a, b: S.common_tokens(N.keywords(a), N.keywords(b)) / F.greatest(F.size(N.keywords(a)), F.size(N.keywords(b)))), sql(f"{BOTH} / greatest({n}, {m})"), ONE, TWO)
     add("D21_sigmoid", measured(lambda a, b: S.sigmoid(S.levenshtein_similarity(a, b))), sql(f"1 / (1 + exp(-5 * (1 - least(levenshtein({A}, {B}), least(length({A}), length({B}))) / least(length({A}), length({B})) - 0.5)))"), ONE, TWO)
 
@@ -62,10 +66,20 @@ def register(add) -> None:
     add("E5_separate_words", lambda x: parts(x).select("p_partkey", N.separate_words(F.regexp_replace(F.initcap("p_name"), " ", "")).alias("t")), "SELECT p_partkey, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS t FROM part")
     add("E6_last_words", lambda x: x.table("documents").select("doc_id", F.sha2(N.last_words(F.coalesce("text", F.lit("")), 3), 256).alias("t")), "SELECT doc_id, sha256(array_to_string(string_split(coalesce(text, ''), ' ')[-3:], ' ')) AS t FROM documents")
     add("E8_smart_concat", lambda x: parts(x).select("p_partkey", N.smart_concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("t")), "SELECT p_partkey, p_name || ' ' || p_brand AS t FROM part")
-    add("E9_clean_label", lambda x: x.table("supplier").select("s_suppkey", N.clean_label(F.concat("s_name", F.lit(" (EU), Inc.")), F.lit("organization")).alias("t")), "SELECT s_suppkey, s_name AS t FROM supplier")
-    add("E10_acronym", lambda x: x.table("region").select("r_regionkey", N.is_acronym(F.col("r_name")).alias("t")), "SELECT r_regionkey, length(r_name) < 5 AND upper(r_name) = r_name AS t FROM region")
+    kinds, k = "CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'location' END", F.pmod("s_suppkey", F.lit(3))
+    add(
+        "E9_clean_label",
+        lambda x: x.table("supplier").select("s_suppkey", N.clean_label(F.concat("s_name", F.when(k == 0, ", Ann (1970)").when(k == 1, " (EU), Inc.").otherwise(" (old) town")), F.when(k == 0, "person").when(k == 1, "organization").otherwise("location")).alias("t")),
+        f"SELECT s_suppkey, CASE {kinds} WHEN 'person' THEN 'Ann ' || s_name WHEN 'organization' THEN s_name ELSE s_name || '  town' END AS t FROM supplier",
+    )
+    add("E10_acronym", lambda x: x.table("nation").select("n_nationkey", N.is_acronym(F.substr("n_name", F.lit(1), F.pmod("n_nationkey", F.lit(7)))).alias("upper"), N.is_acronym(F.initcap(F.substr("n_name", F.lit(1), F.lit(3)))).alias("mixed")), "SELECT n_nationkey, length(n_name[1 : n_nationkey % 7]) BETWEEN 1 AND 4 AND upper(n_name[1 : n_nationkey % 7]) = n_name[1 : n_nationkey % 7] AS upper, false AS mixed FROM nation")
     add("E11_keywords", lambda x: parts(x).select("p_partkey", F.array_join(N.keywords(F.concat_ws(" ", F.lit("The"), "p_name", F.lit("of"), "p_name")), " ").alias("t")), "SELECT p_partkey, p_name AS t FROM part")
-    add("E12_spelling", lambda x: x.table("region").select("r_regionkey", N.american_spelling(F.concat(F.lower("r_name"), F.lit(" colour organisation centre"))).alias("t")), "SELECT r_regionkey, lower(r_name) || ' color organization center' AS t FROM region")
-    add("E14_entity_type", lambda x: x.table("customer").select("c_custkey", N.entity_type(F.split("c_name", "#")[0]).alias("t")), "SELECT c_custkey, 'person' AS t FROM customer")
-    add("E15_relation", lambda x: x.spark.createDataFrame([(s,) for s in [*N.RELATIONS, "!"]], "symbol string").select("symbol", N.relation_of(F.col("symbol")).alias("t")))
+    british = "CASE r_regionkey % 4 WHEN 0 THEN 'colour of the theatre' WHEN 1 THEN 'organisation' WHEN 2 THEN 'organise it' ELSE 'our hour' END"
+    american = "CASE r_regionkey % 4 WHEN 0 THEN 'color of the theater' WHEN 1 THEN 'organization' WHEN 2 THEN 'organize it' ELSE 'or hor' END"
+    add("E12_spelling", lambda x: x.table("region").select("r_regionkey", N.american_spelling(F.concat(F.lower("r_name"), F.lit(" "), F.expr(british))).alias("t")), f"SELECT r_regionkey, lower(r_name) || ' ' || {american} AS t FROM region")
+    said = "CASE n_nationkey % 6 WHEN 0 THEN 'Customer' WHEN 1 THEN 'a Company' WHEN 2 THEN 'GeoRegion' WHEN 3 THEN 'some event' WHEN 4 THEN 'PEOPLE' ELSE 'thing' END"
+    meant = "CASE n_nationkey % 6 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' WHEN 2 THEN 'location' WHEN 3 THEN 'event' WHEN 4 THEN 'person' ELSE 'unknown' END"
+    add("E14_entity_type", lambda x: x.table("nation").select("n_nationkey", N.entity_type(F.expr(said)).alias("t")), f"SELECT n_nationkey, {meant} AS t FROM nation")
+    known = ", ".join(f"('{k}', '{v}')" for k, v in N.RELATIONS.items())
+    add("E15_relation", lambda x: x.spark.createDataFrame([(s,) for s in [*N.RELATIONS, "!"]], "symbol string").select("symbol", N.relation_of(F.col("symbol")).alias("t")), f"SELECT * FROM (VALUES {known}, ('!', 'unknown')) t(symbol, t)")
     add("E16_percent", lambda x: x.table("lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("d")).select("l_returnflag", N.percent(F.col("d"), 2).alias("t")), "SELECT l_returnflag, format('{:.2f}%', round(avg(l_discount) * 100, 2)) AS t FROM lineitem GROUP BY 1")
