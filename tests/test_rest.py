@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from weft.operators import candidates, conflicts, feedback
+from weft.operators import candidates, conflicts, feedback, selection
 from weft.plans import pipelines
 from weft.sources import ontologies
 
@@ -125,3 +125,90 @@ def test_stages_can_be_replaced(spark):
     assert {r.src_id: r.similarity for r in feedback.run_stages(sim, counts, sim).collect()} == {1: 1.0, 2: 0.5}
     halved = {"control": lambda state: state | {"sim": state["sim"].selectExpr("src_id", "tgt_id", "similarity / 2 AS similarity")}}
     assert {r.src_id: r.similarity for r in feedback.run_stages(sim, counts, sim, halved).collect()} == {1: 0.5, 2: 0.25}
+
+
+def tree(own: random.Random, n: int) -> dict[int, int | None]:
+    return {0: None, **{c: own.randrange(c) for c in range(1, n)}}
+
+
+def frames(spark, own, a=9, b=10, share=0.8):
+    """Two trees and the similarities of some of their pairs, plain and as tables."""
+    up, low = tree(own, a), tree(own, b)
+    cells = {(s, t): round(own.random(), 2) for s in up for t in low if own.random() < share}
+    edges = [spark.createDataFrame(sorted(x.items()), "child long, parent long") for x in (up, low)]
+    return up, low, cells, edges, spark.createDataFrame([(*k, v) for k, v in cells.items()], "src_id long, tgt_id long, similarity double")
+
+
+def as_dict(df):
+    return {(r.src_id, r.tgt_id): round(r.similarity, 9) for r in df.collect()}
+
+
+def test_level_bonus_against_a_plain_version(spark):
+    from weft.operators import structure
+
+    own = random.Random(8)
+    for _ in range(3):
+        up, low, cells, edges, sim = frames(spark, own)
+        factor, level = {}, 0
+        left = {k for k in cells if up[k[0]] is None and low[k[1]] is None}
+        while left:
+            best, used_s, used_t = [], set(), set()
+            for s, t in sorted((k for k in left if cells[k] >= 0.3), key=lambda k: (-cells[k], -k[0], -k[1])):
+                if s not in used_s and t not in used_t:
+                    best.append((s, t))
+                    used_s.add(s)
+                    used_t.add(t)
+            factor |= {k: (1.15, 1.25, 1.4)[min(level, 2)] for k in best}
+            left = {(s, t) for s, t in cells if (up[s], low[t]) in best and (s, t) not in factor}
+            level += 1
+        want = {k: round(min(1.0, v * factor[k]) if k in factor else v, 9) for k, v in cells.items()}
+        assert as_dict(structure.level_bonus(sim, *edges, 0.3)) == want
+
+
+def test_structural_evidence_against_a_plain_version(spark):
+    from weft.operators import structure
+
+    own = random.Random(9)
+    for _ in range(2):
+        up, low, cells, edges, sim = frames(spark, own)
+        now, kids = dict(cells), {p: [c for c in up if up[c] == p] for p in up}
+        matched = sum(v >= 0.7 for v in now.values())
+        for _ in range(4):
+            good = [k for k, v in now.items() if v >= 0.7]
+            evidence = {k: [v] for k, v in now.items()}
+            below, above = {}, {}
+            for s, t in good:
+                if up[s] is not None and low[t] is not None:
+                    below.setdefault((up[s], low[t]), set()).add(s)
+                for c in kids[s]:
+                    for d in (d for d in low if low[d] == t):
+                        above.setdefault((c, d), set()).add(s)
+            for k, found in below.items():
+                evidence.setdefault(k, []).append(len(found) / len(kids[k[0]]))
+            for k, found in above.items():
+                evidence.setdefault(k, []).append(len(found) / 1)
+            new = {k: max(sum(sorted(v)[-2:]) / len(v[-2:] if len(v) < 2 else sorted(v)[-2:]), now.get(k, 0.0)) for k, v in evidence.items()}
+            before, now = matched, new
+            matched = sum(v >= 0.7 for v in now.values())
+            if matched == before:
+                break
+        got = as_dict(structure.structural_evidence(sim, *edges, 0.7))
+        assert got.keys() == now.keys() and all(abs(got[k] - now[k]) < 1e-8 for k in now)
+
+
+def test_repair_against_a_plain_version(spark):
+    own = random.Random(10)
+    for _ in range(2):
+        up, low, cells, edges, _ = frames(spark, own, 8, 9, 0.35)
+        above = lambda parents, x: set() if parents[x] is None else {parents[x]} | above(parents, parents[x])
+        apart = {(a, b) for a in low for b in low if a < b and low[a] == low[b]}
+        kept = []
+        for s, t in sorted(cells, key=lambda k: (-cells[k], k[0], k[1])):
+            lines = lambda x: {x} | above(low, x)
+            clash = any((s in above(up, x) or x in above(up, s)) and any((min(a, b), max(a, b)) in apart for a in lines(t) for b in lines(y)) for x, y in kept)
+            if not clash:
+                kept.append((s, t))
+        sim = spark.createDataFrame([(*k, v) for k, v in cells.items()], "src_id long, tgt_id long, similarity double")
+        closed = [candidates.closure(e) for e in edges]
+        got = selection.repaired(sim, *closed, spark.createDataFrame(sorted(apart), "a long, b long"))
+        assert {(r.src_id, r.tgt_id) for r in got.collect()} == set(kept)
