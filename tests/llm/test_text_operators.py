@@ -168,7 +168,7 @@ def families(seed=3):
 def test_jaccard_join_over_many_near_copies(spark, monkeypatch, block, links, exact):
     """With small blocks, large keys and components are split."""
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "LINK_BLOCK", links)
+    monkeypatch.setattr(jaccard_join, "LINK_BLOCKS", (links, links))
     rows = families()
     got = table(jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), exact=exact), *JOINED)
     assert got == sorted(brute_components(rows))

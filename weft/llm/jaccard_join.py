@@ -59,8 +59,9 @@ BLOCK, SPLITS = 4096, 2
 BROADCAST_NODES = 1_000_000
 #: Documents whose keys one task takes.
 DOCS_A_TASK = 50_000
-#: Nodes and bytes of sets in a block when links are counted, and shingles in one product.
-LINK_BLOCK, LINK_BYTES, COLUMNS = 1024, 1 << 23, 2048
+#: A component's nodes are counted in blocks of a 64th of them, within these limits and so many bytes of sets;
+#: and shingles in one product.
+LINK_BLOCKS, LINK_BYTES, COLUMNS = (256, 2048), 1 << 23, 2048
 #: Sets that a task remembers to have sent.
 SENT = 100_000
 #: Most bits of the table that tells which rows' sets are needed: 64 MB.
@@ -478,7 +479,8 @@ class _Join:
     def degrees(self, labels: DataFrame, sets: DataFrame) -> DataFrame:
         """node, links: to how many rows of other nodes each node links, by blocks of its component."""
         members = labels.join(self.classes.select("node", "n", "copies"), "node")
-        size = F.least(F.lit(LINK_BLOCK), F.greatest(F.lit(1), F.lit(LINK_BYTES // 8) / F.col("most")))
+        least, most = LINK_BLOCKS
+        size = F.least(F.lit(most), F.greatest(F.lit(least), F.col("m") / 64), F.greatest(F.lit(1), F.lit(LINK_BYTES // 8) / F.col("most")))
         groups = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("most"), F.sum("copies").alias("rows"))
         groups = groups.select("label", "m", "rows", F.ceil(F.col("m") / F.floor(size)).cast("int").alias("blocks"))
         members = members.join(groups, "label")
