@@ -99,32 +99,117 @@ SELECT f AS n_found, c AS n_correct, r AS n_reference, round(c / f, 6) AS precis
 def register(add) -> None:
     rounded = lambda df: df.select("src_id", "tgt_id", F.round("similarity", 6).alias("similarity"))
     # A: sources and sinks
-    add("A1_rdf_xml", lambda x: loaded(again(lambda y, p: alignments.well_formed(rdf_xml(y)).write.text(p), lambda s, p: ontologies.load(s, p, "owl"))(x)), LINKS, ONE)
+    add(
+        "A1_rdf_xml",
+        lambda x: loaded(again(lambda y, p: alignments.well_formed(rdf_xml(y)).write.text(p), lambda s, p: ontologies.load(s, p, "owl"))(x)),
+        LINKS,
+        ONE,
+    )
     add("A2_n_triples", lambda x: loaded(again(lambda y, p: n_triples(y).write.text(p), lambda s, p: ontologies.load(s, p, "nt"))(x)), LINKS, ONE)
     add("A4_indented", lambda x: loaded(ontologies.from_indented(indented(x), "place", "line", "doc")), LINKS, ONE)
-    add("A6_triple_store", lambda x: loaded(again(lambda y, p: triples(y).write.parquet(p), lambda s, p: ontologies.load(s, p, "parquet"))(x)), LINKS, ONE)
-    add("A9_instances", lambda x: ontologies.instances(triples(x)).select("uri", F.element_at("props", "label")[0].alias("label")), "SELECT 'http://one/n' || id AS uri, label FROM one", ONE)
-    add("A10_grouped_statements", lambda x: instances.grouped(instances.statements(x.table("supplier"), "s_suppkey", ["s_name", "s_nationkey"])).select("id", F.element_at("props", "s_name")[0].alias("name"), F.element_at("props", "s_nationkey")[0].alias("nation")), "SELECT s_suppkey AS id, s_name AS name, s_nationkey::STRING AS nation FROM supplier")
-    add("A12_repair", lambda x: ontologies.repaired(x.table("region").select(F.concat("r_name", F.lit("\\q \\n")).alias("value"))), "SELECT r_name || '\\\\q \\n' AS value FROM region")
+    add(
+        "A6_triple_store",
+        lambda x: loaded(again(lambda y, p: triples(y).write.parquet(p), lambda s, p: ontologies.load(s, p, "parquet"))(x)),
+        LINKS,
+        ONE,
+    )
+    add(
+        "A9_instances",
+        lambda x: ontologies.instances(triples(x)).select("uri", F.element_at("props", "label")[0].alias("label")),
+        "SELECT 'http://one/n' || id AS uri, label FROM one",
+        ONE,
+    )
+    add(
+        "A10_grouped_statements",
+        lambda x: instances.grouped(instances.statements(x.table("supplier"), "s_suppkey", ["s_name", "s_nationkey"])).select("id", F.element_at("props", "s_name")[0].alias("name"), F.element_at("props", "s_nationkey")[0].alias("nation")),
+        "SELECT s_suppkey AS id, s_name AS name, s_nationkey::STRING AS nation FROM supplier",
+    )
+    add(
+        "A12_repair",
+        lambda x: ontologies.repaired(x.table("region").select(F.concat("r_name", F.lit("\\q \\n")).alias("value"))),
+        "SELECT r_name || '\\\\q \\n' AS value FROM region",
+    )
     add("A20_cells", again(lambda x, p: alignments.write_cells(cells(x), p), alignments.read_cells), WRITTEN, SIM)
-    add("A22_table", again(lambda x, p: alignments.write_table(cells(x), p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["scored"])), WRITTEN, SIM)
-    add("A23_numbered", again(lambda x, p: cells(x).select(F.concat_ws("\t", F.lit("1"), "source", F.lit("-"), "target", F.lit("x")).alias("value")).write.text(p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["numbered-5"])), WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)"), SIM)
+    add(
+        "A22_table",
+        again(lambda x, p: alignments.write_table(cells(x), p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["scored"])),
+        WRITTEN,
+        SIM,
+    )
+    add(
+        "A23_numbered",
+        again(lambda x, p: cells(x).select(F.concat_ws("\t", F.lit("1"), "source", F.lit("-"), "target", F.lit("x")).alias("value")).write.text(p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["numbered-5"])),
+        WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)"),
+        SIM,
+    )
     add("A24_arrows", again(lambda x, p: alignments.write_arrows(cells(x), p), alignments.read_arrows), WRITTEN, SIM)
     concepts = lambda x, k, u: x.sim.select(F.col(k).alias("id")).distinct().withColumn("uri", F.concat(F.lit(u), "id"))
     turned = lambda c: c.select(F.col("target").alias("source"), F.col("source").alias("target"), "similarity", "relation")
-    add("A25_resolved", lambda x: alignments.resolved(turned(cells(x)), concepts(x, "src_id", "http://s/"), concepts(x, "tgt_id", "http://t/")), "SELECT src_id, tgt_id, round(similarity, 4) AS similarity, '=' AS relation FROM sim", SIM)
-    add("A26_by_either_uri", lambda x: alignments.by_either_uri(cells(x)), "SELECT 'http://s/' || src_id AS uri, 'http://t/' || tgt_id AS other FROM sim UNION ALL SELECT 'http://t/' || tgt_id, 'http://s/' || src_id FROM sim", SIM)
-    add("A27_pairs", again(lambda x, p: cells(x).select(F.concat_ws("\t", "source", "target").alias("value")).write.text(p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["pairs"])), WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)"), SIM)
-    add("A28_three_tokens", again(lambda x, p: cells(x).select(F.concat_ws(" ", "target", F.lit("<"), "source").alias("value")).write.text(p), lambda s, p: alignments.read_three_tokens(s, p, "http://s/")), WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)").replace("'='", "'>'"), SIM)
-    add("A31_matrix", again(lambda x, p: alignments.write_matrix(x.sim, p, 0.6), lambda s, p: s.read.parquet(p)), "SELECT * FROM sim WHERE similarity > 0.6", SIM)
-    add("A33_tasks", again(lambda x, p: corpora.tasks_json(x.table("nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("source"), F.lit("t").alias("target"), F.lit("base").alias("matcher"), F.lit("greedy").alias("selector"), F.lit("o").alias("output"))).write.text(p), corpora.read_tasks), "SELECT n_nationkey AS place, n_name AS source, 't' AS target, 'base' AS matcher, 'greedy' AS selector, 'o' AS output FROM nation")
+    add(
+        "A25_resolved",
+        lambda x: alignments.resolved(turned(cells(x)), concepts(x, "src_id", "http://s/"), concepts(x, "tgt_id", "http://t/")),
+        "SELECT src_id, tgt_id, round(similarity, 4) AS similarity, '=' AS relation FROM sim",
+        SIM,
+    )
+    add(
+        "A26_by_either_uri",
+        lambda x: alignments.by_either_uri(cells(x)),
+        "SELECT 'http://s/' || src_id AS uri, 'http://t/' || tgt_id AS other FROM sim UNION ALL "
+        "SELECT 'http://t/' || tgt_id, 'http://s/' || src_id FROM sim",
+        SIM,
+    )
+    add(
+        "A27_pairs",
+        again(lambda x, p: cells(x).select(F.concat_ws("\t", "source", "target").alias("value")).write.text(p), lambda s, p: alignments.read_table(s, p, alignments.LAYOUTS["pairs"])),
+        WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)"),
+        SIM,
+    )
+    add(
+        "A28_three_tokens",
+        again(lambda x, p: cells(x).select(F.concat_ws(" ", "target", F.lit("<"), "source").alias("value")).write.text(p), lambda s, p: alignments.read_three_tokens(s, p, "http://s/")),
+        WRITTEN.replace("round(similarity, 4)", "CAST(1 AS DOUBLE)").replace("'='", "'>'"),
+        SIM,
+    )
+    add(
+        "A31_matrix",
+        again(lambda x, p: alignments.write_matrix(x.sim, p, 0.6), lambda s, p: s.read.parquet(p)),
+        "SELECT * FROM sim WHERE similarity > 0.6",
+        SIM,
+    )
+    add(
+        "A33_tasks",
+        again(lambda x, p: corpora.tasks_json(x.table("nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("source"), F.lit("t").alias("target"), F.lit("base").alias("matcher"), F.lit("greedy").alias("selector"), F.lit("o").alias("output"))).write.text(p), corpora.read_tasks),
+        "SELECT n_nationkey AS place, n_name AS source, 't' AS target, 'base' AS matcher, 'greedy' AS selector, 'o' AS output FROM nation",
+    )
     news = lambda x: x.table("documents").select(F.concat(F.lit('<DOC id="'), "doc_id", F.lit('" type="'), "lang", F.lit('"><HEADLINE>'), "source", F.lit("</HEADLINE><TEXT>"), "n_chars", F.lit("</TEXT></DOC>")).alias("value"))
-    add("A35_sgml", again(lambda x, p: news(x).write.text(p), corpora.read_sgml), "SELECT doc_id::STRING AS id, lang AS kind, source AS headline, n_chars::STRING AS text FROM documents")
+    add(
+        "A35_sgml",
+        again(lambda x, p: news(x).write.text(p), corpora.read_sgml),
+        "SELECT doc_id::STRING AS id, lang AS kind, source AS headline, n_chars::STRING AS text FROM documents",
+    )
     bare = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g')"
-    add("A35_html", lambda x: corpora.html_text(x.table("pages")).select("page_id", F.length("title").cast("long").alias("n_title"), F.length("plain").cast("long").alias("n_text"), F.sha2("plain", 256).alias("plain")), rf"SELECT page_id, length(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))) AS n_title, length(trim({bare})) AS n_text, sha256(trim({bare})) AS plain FROM pages")
-    add("A36_vectors", again(lambda x, p: corpora.write_vectors(x.table("embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec")), p), lambda s, p: corpora.read_vectors(s, p).select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))), "SELECT 'w' || vec_id AS word, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings")
-    add("A37_vocabulary", again(lambda x, p: corpora.write_vocabulary(x.table("documents").groupBy(F.col("source").alias("word")).agg(F.count(F.lit(1)).alias("cnt")), p), corpora.read_vocabulary), "SELECT source AS word, count(*) AS cnt FROM documents GROUP BY 1")
-    add("A38_tokenised", lambda x: corpora.tokenised(x.table("documents")).select("doc_id", F.size("tokens").cast("long").alias("n"), F.sha2("line", 256).alias("line")), r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w FROM documents) SELECT doc_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS line FROM t WHERE len(w) > 10")
+    add(
+        "A35_html",
+        lambda x: corpora.html_text(x.table("pages")).select("page_id", F.length("title").cast("long").alias("n_title"), F.length("plain").cast("long").alias("n_text"), F.sha2("plain", 256).alias("plain")),
+        rf"SELECT page_id, length(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1))) AS n_title, length(trim({bare})) AS n_text, "
+        rf"sha256(trim({bare})) AS plain FROM pages",
+    )
+    add(
+        "A36_vectors",
+        again(lambda x, p: corpora.write_vectors(x.table("embeddings").select(F.concat(F.lit("w"), "vec_id").alias("word"), F.col("embedding").alias("vec")), p), lambda s, p: corpora.read_vectors(s, p).select("word", F.round(F.aggregate("vec", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))),
+        "SELECT 'w' || vec_id AS word, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings",
+    )
+    add(
+        "A37_vocabulary",
+        again(lambda x, p: corpora.write_vocabulary(x.table("documents").groupBy(F.col("source").alias("word")).agg(F.count(F.lit(1)).alias("cnt")), p), corpora.read_vocabulary),
+        "SELECT source AS word, count(*) AS cnt FROM documents GROUP BY 1",
+    )
+    add(
+        "A38_tokenised",
+        lambda x: corpora.tokenised(x.table("documents")).select("doc_id", F.size("tokens").cast("long").alias("n"), F.sha2("line", 256).alias("line")),
+        r"WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS w "
+        r"FROM documents) SELECT doc_id, len(w) AS n, sha256(array_to_string(w, ' ')) AS line FROM t WHERE len(w) > 10",
+    )
     # O: pipelines
     add("O1_minimum_slice", minimum_slice, SLICE, ONE, TWO)
     for name in pipelines.PLANS:
@@ -132,7 +217,12 @@ def register(add) -> None:
     add("O7_matchers", lambda x: x.spark.createDataFrame([(n,) for n in sorted(pipelines.MATCHERS)], "name string"))
     # P: order, limits and sets
     add("P1_sorted", lambda x: x.sim.orderBy("similarity", "src_id", "tgt_id"), "SELECT * FROM sim", SIM)
-    add("P3_limit", lambda x: x.sim.orderBy(F.desc("similarity"), "src_id", "tgt_id").limit(25), "SELECT * FROM sim ORDER BY similarity DESC, src_id, tgt_id LIMIT 25", SIM)
+    add(
+        "P3_limit",
+        lambda x: x.sim.orderBy(F.desc("similarity"), "src_id", "tgt_id").limit(25),
+        "SELECT * FROM sim ORDER BY similarity DESC, src_id, tgt_id LIMIT 25",
+        SIM,
+    )
     pair = lambda x: x.sim.filter("similarity >= 0.6").select("src_id", "tgt_id")
     some = "SELECT src_id, tgt_id FROM sim WHERE similarity >= 0.6"
     add("P4_union", lambda x: pair(x).unionByName(x.ref), f"{some} UNION ALL SELECT * FROM ref", SIM, REF)
@@ -141,5 +231,11 @@ def register(add) -> None:
     add("P7_distinct", lambda x: x.sim.select("similarity").distinct(), "SELECT DISTINCT similarity FROM sim", SIM)
     word = lambda c: c.select(F.explode(S.tokens(F.col("label"))).alias("w"))
     tags = "SELECT unnest(string_split(label, ' ')) AS w FROM {}"
-    add("P8_multiset_intersection", lambda x: word(x.one).intersectAll(word(x.two)), f"{tags.format('one')} INTERSECT ALL {tags.format('two')}", ONE, TWO)
+    add(
+        "P8_multiset_intersection",
+        lambda x: word(x.one).intersectAll(word(x.two)),
+        f"{tags.format('one')} INTERSECT ALL {tags.format('two')}",
+        ONE,
+        TWO,
+    )
     add("P8_multiset_union", lambda x: word(x.one).unionAll(word(x.two)), f"{tags.format('one')} UNION ALL {tags.format('two')}", ONE, TWO)
