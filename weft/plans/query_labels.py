@@ -143,10 +143,10 @@ def register(add) -> None:
         lambda x: parts(x).select("p_partkey", N.smart_concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("t")),
         "SELECT p_partkey, p_name || ' ' || p_brand AS t FROM part",
     )
-    kinds, k = "CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'location' END", F.pmod("s_suppkey", F.lit(3))
+    kinds, k = "CASE s_suppkey % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'organization' ELSE 'location' END", "s_suppkey % 3"
     add(
         "E9_clean_label",
-        lambda x: x.table("supplier").select("s_suppkey", N.clean_label(F.concat("s_name", F.when(k == 0, ", Ann (1970)").when(k == 1, " (EU), Inc.").otherwise(" (old) town")), F.when(k == 0, "person").when(k == 1, "organization").otherwise("location")).alias("t")),
+        lambda x: x.table("supplier").select("s_suppkey", N.clean_label(F.concat("s_name", F.when(F.expr(f"{k} = 0"), ", Ann (1970)").when(F.expr(f"{k} = 1"), " (EU), Inc.").otherwise(" (old) town")), F.when(F.expr(f"{k} = 0"), "person").when(F.expr(f"{k} = 1"), "organization").otherwise("location")).alias("t")),
         f"SELECT s_suppkey, CASE {kinds} WHEN 'person' THEN 'Ann ' || s_name WHEN 'organization' THEN s_name ELSE s_name || '  town' END AS t FROM supplier",
     )
     add(
