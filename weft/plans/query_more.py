@@ -36,6 +36,27 @@ def xml_tree(x: Inputs):
     return x.spark.createDataFrame([("".join(map(say, below[None])),)], "value string")
 
 
+#: Trees of three levels. The roots' children are matched by taking their best pairs one after another.
+SHAPES = """
+WITH k AS (SELECT e.child AS id, count(c.child) AS k, e.parent IS NULL AS root FROM one_edges e LEFT JOIN one_edges c ON c.parent = e.child GROUP BY 1, 3),
+l AS (SELECT e.child AS id, count(c.child) AS k, e.parent IS NULL AS root FROM two_edges e LEFT JOIN two_edges c ON c.parent = e.child GROUP BY 1, 3),
+pr AS (
+  SELECT k.id AS i, l.id AS j, least(k.k, l.k) / greatest(k.k, l.k) AS s, row_number() OVER (ORDER BY least(k.k, l.k) / greatest(k.k, l.k) DESC, k.id, l.id) AS n
+  FROM k CROSS JOIN l WHERE k.k > 0 AND l.k > 0 AND NOT k.root AND NOT l.root
+), g AS (
+  SELECT 0::BIGINT AS n, []::BIGINT[] AS r, []::BIGINT[] AS c, 0::DOUBLE AS t
+  UNION ALL
+  SELECT pr.n, CASE WHEN list_contains(r, i) OR list_contains(c, j) THEN r ELSE list_append(r, i) END,
+    CASE WHEN list_contains(r, i) OR list_contains(c, j) THEN c ELSE list_append(c, j) END,
+    t + CASE WHEN list_contains(r, i) OR list_contains(c, j) THEN 0 ELSE s END
+  FROM g JOIN pr ON pr.n = g.n + 1
+), top AS (SELECT max(t) AS t FROM g)
+SELECT k.id AS src_id, l.id AS tgt_id,
+  round(CASE WHEN k.k = 0 THEN 1 WHEN k.root THEN t / greatest(k.k, l.k) ELSE least(k.k, l.k) / greatest(k.k, l.k) END, 6)::DOUBLE AS similarity
+FROM k CROSS JOIN l CROSS JOIN top WHERE (k.k = 0) = (l.k = 0) AND (k.k = 0 OR k.root = l.root)
+"""
+
+
 def linked(o: ontologies.Ontology):
     names = o.concepts.select("id", "label")
     a, b = names.select(F.col("id").alias("child"), F.col("label").alias("below")), names.select(F.col("id").alias("parent"), F.col("label").alias("above"))
@@ -213,14 +234,7 @@ def register(add) -> None:
     add(
         "F16_shape",
         lambda x: rounded(structure.shape_similarity(x.one_edges, x.two_edges)),
-        "WITH k AS (SELECT e.child AS id, count(c.child) AS k, e.parent IS NULL AS root FROM one_edges e LEFT JOIN one_edges c "
-        "ON c.parent = e.child GROUP BY 1, 3), l AS (SELECT e.child AS id, count(c.child) AS k, e.parent IS NULL AS root FROM two_edges e LEFT "
-        "JOIN two_edges c ON c.parent = e.child GROUP BY 1, 3), inn AS (SELECT max(k.k) AS a, (SELECT max(l.k) FROM l "
-        "WHERE NOT l.root) AS b, (SELECT k FROM k WHERE root) AS c, (SELECT k FROM l WHERE root) AS d FROM k WHERE NOT root) "
-        "SELECT k.id AS src_id, l.id AS tgt_id, round(CASE WHEN k.k = 0 THEN 1 WHEN k.root "
-        "AND l.root THEN least(c, d) / greatest(c, d) * (least(a, b) / greatest(a, b)) "
-        "ELSE least(k.k, l.k) / greatest(k.k, l.k) END, 6)::DOUBLE AS similarity FROM k CROSS JOIN l CROSS JOIN inn "
-        "WHERE (k.k = 0) = (l.k = 0) AND (k.k = 0 OR k.root = l.root)",
+        SHAPES,
         ONE,
         TWO,
     )
