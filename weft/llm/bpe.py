@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import released, ship, table, text_of, type_of
+from weft.llm.common import only, released, ship, table, text_of, type_of
 from weft.llm.pretokenize import cutter
 
 #: What a worker remembers: small enough to stay beside the JVM when later stages run in it.
@@ -154,13 +154,8 @@ class Encoder(dict):
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder_for(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    return only(("bpe", path, pattern), lambda: Encoder(path, pattern))
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

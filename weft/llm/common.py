@@ -58,6 +58,17 @@ def _trim() -> None:
         pass
 
 
+_HELD: dict[object, object] = {}
+
+
+def only(key: object, make: Callable[[], object]):
+    """What an operator keeps in a Python worker from one task to the next; another operator's is dropped for it."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, and after it the memory that its worker holds without use goes back: workers outlive tasks and stages."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import filtered, released, remove, ship, stored, table, text_of, type_of
+from weft.llm.common import filtered, only, released, remove, ship, stored, table, text_of, type_of
 
 #: About so many labelled rows are learned from; the model keeps so many words and trigrams, the most frequent.
 TRAIN_ROWS = 20_000
@@ -318,15 +318,9 @@ class Labeler(dict):
         return ",".join(f"{self.model.languages[path[t]]}:{a}:{b}" for t, a, b in zip([0, *turns], cuts, cuts[1:]))
 
 
-_LABELERS: dict[str, Labeler] = {}
-
-
 def labeler_of(model: Model) -> Labeler:
-    """The model's labeler; a worker keeps one, which later tasks find with its words."""
-    if model.uid not in _LABELERS:
-        _LABELERS.clear()
-        _LABELERS[model.uid] = Labeler(model)
-    return _LABELERS[model.uid]
+    """The model's labeler; later tasks of a worker find it with its words."""
+    return only(model.uid, lambda: Labeler(model))
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import new_path, released, ship, table, text_of
+from weft.llm.common import new_path, only, released, ship, table, text_of
 from weft.llm.pretokenize import cutter
 
 BLOCK_IDS = 1 << 16
@@ -129,13 +129,8 @@ class Pieces(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, self.cut(text))), "<u4")
 
 
-_PIECES: dict[tuple[str, str], Pieces] = {}
-
-
 def pieces_for(path: str, pattern: str) -> Pieces:
-    if (path, pattern) not in _PIECES:
-        _PIECES[path, pattern] = Pieces(path, pattern)
-    return _PIECES[path, pattern]
+    return only(("pieces", path, pattern), lambda: Pieces(path, pattern))
 
 
 def _blocks(path: str, pattern: str, end_id: int):
