@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages from documents to token ids.
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return the rows of docs
-that stay, with their columns.
+that stay, with their columns. They judge rows by their text and place, never by id alone: rows
+with null or repeated ids stay or go by themselves, other columns may have any name, and an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,27 +20,27 @@ from weft.llm.language import keep_identified
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined."""
+    """Documents whose language is determined; null texts and texts without letters go."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal documents the longest, then the one with the smallest id."""
+    """Of equal documents the longest, then the one with the smallest id, then the first by place: one row for each group."""
     return drop_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links join, the document with the smallest id."""
+    """Of each group that links join, the document with the smallest id: one row for each; texts without words stay."""
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with less than one word in twenty from the benchmark."""
+    """Documents with less than one word in twenty from the benchmark; texts without words stay."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with digests of them and of the bytes they decode to."""
+    """The token ids of each document, with digests of them and of the bytes they decode to; a null text has none."""
     return tokenised(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
