@@ -81,6 +81,57 @@ def test_similar_pairs_lose_none(spark):
         candidates.similar_pairs(*sides, 0.5)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_similar_pairs_of_all_lengths(spark):
+    """Lengths with few forms, lengths with many, and pairs across; copies and missing texts."""
+    own = random.Random(6)
+
+    def edited(word):
+        for _ in range(own.randrange(5)):
+            i = own.randrange(len(word) + 1)
+            word = word[:i] + own.choice(["", "a", "é", "🙂"]) + word[i + own.randrange(2) :]
+        return word
+
+    words = ["".join(own.choices("abé🙂", k=own.randrange(1, 34))) for _ in range(60)]
+    left, right = [*words, *words[:5], None, "#"], [*map(edited, words), *map(edited, words), *words[:5], None, "##"]
+    sides = [spark.createDataFrame(list(enumerate(s)), "id long, label string") for s in (left, right)]
+    for threshold in (0.51, 0.7, 0.8, 0.9, 1.0):
+        got = [(r.src_id, r.tgt_id) for r in candidates.similar_pairs(*sides, threshold).collect()]
+        want = [(i, j) for i, a in enumerate(left) for j, b in enumerate(right) if a and b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= threshold]
+        assert sorted(got) == want
+
+
+def joined_rows(df) -> int:
+    """The rows that come out of all joins of a query while it is collected."""
+    df.collect()
+
+    def rows(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        return (node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0) + sum(map(rows, below))
+
+    return rows(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_names_with_a_common_beginning_make_few_pairs(spark, copies):
+    names = [(i + 400 * k, f"Supplier#{i:09d}") for i in range(400) for k in range(copies)]
+    sides = [spark.createDataFrame([r for r in names if r[0] % 2 == k], "id long, label string") for k in (0, 1)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = candidates.similar_pairs(*sides, 0.9)
+        assert joined_rows(found) < 20_000 and found.count() == 1000 * copies**2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_triple_store_keeps_the_last_word(spark, tmp_path):
     rows = lambda *s: spark.createDataFrame([(x, "p", "o", False) for x in s], "s string, p string, o string, is_literal boolean")
     path = f"file://{tmp_path}/store"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,25 +64,90 @@ def dealt_pairs(source: DataFrame, target: DataFrame, parts: int) -> DataFrame:
 def similar_pairs(source: DataFrame, target: DataFrame, threshold: float, text: str = "label") -> DataFrame:
     """The pairs whose edit similarity reaches a threshold above 0.5, without the product of both sides.
 
-    An edit changes two letter pairs at most. With an edit distance below half the longer
-    length, some letter pair of the padded texts is left in both, so a join on letter
-    pairs loses no such pair; lengths are compared before the distance is. Empty texts are
+    Different texts are compared once, whatever their copies, and only those that share a key. The
+    length of a pair's longer text bounds its edits, and so says which keys it is found by: shortened
+    forms where there are few of them, letter pairs elsewhere. Neither loses a pair. Empty texts are
     like none.
     """
     if threshold <= 0.5:
         raise ValueError("a threshold above 0.5 is needed: below it texts may share no letter pair")
+    sides = [s.filter(F.length(text) > 0).select(F.col(text).alias(f"{n}_text")).distinct() for s, n in ((source, "src"), (target, "tgt"))]
+    texts = ["src_text", "tgt_text"]
+    pairs = _by_forms(*sides, threshold).unionByName(_by_letter_pairs(*sides, threshold)).distinct()
+    scored = pairs.select(*texts, (1 - F.levenshtein(*texts) / F.greatest(*map(F.length, texts))).alias("similarity")).filter(F.col("similarity") >= threshold)
+    ids = lambda side, name: side.select(F.col("id").alias(f"{name}_id"), F.col(text).alias(f"{name}_text"))
+    return scored.join(ids(source, "src"), "src_text").join(ids(target, "tgt"), "tgt_text").select(*PAIR, "similarity")
+
+
+#: Texts of a length are joined on their shortened forms if there are at most so many of them.
+FORMS = 512
+
+
+def _edits(longer: Column, threshold: float) -> Column:
+    """The most edits of a similar pair whose longer text has this length."""
+    return F.floor(longer * (1 - threshold) + 1e-9).cast("int")
+
+
+def _few_forms(longer: Column, threshold: float) -> Column:
+    edits, few = _edits(longer, threshold), F.lit(False)
+    for k in range(1, FORMS):
+        if comb(2 * k + 1, k) > FORMS:  # edits are fewer than half the letters
+            break
+        few = few | ((edits == k) & (longer <= next(n for n in range(2 * k, FORMS + 2) if comb(n + 1, k) > FORMS)))
+    return (edits == 0) | few
+
+
+def _longer(length: Column, threshold: float) -> Column:
+    """The lengths that the longer text of a similar pair can have, by the length of either text."""
+    return F.sequence(length, F.floor(length / threshold + 1e-6).cast("int"))
+
+
+def _by_forms(source: DataFrame, target: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts that are equal after as many letters are taken out as a similar pair allows.
+
+    Of a pair with k edits at most, the longer text loses k letters and the shorter one k less the
+    difference of lengths: what no edit touches is left in both.
+    """
 
     def keyed(side: DataFrame, name: str) -> DataFrame:
-        padded = F.concat(F.lit("#"), F.col(text), F.lit("#"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) + 1), lambda i: F.substring(padded, i, F.lit(2))))
-        return side.filter(F.length(text) > 0).select(F.col("id").alias(f"{name}_id"), F.length(text).alias(f"_{name}"), F.explode(grams).alias("_gram"))
-
-    texts = lambda side, name: side.select(F.col("id").alias(f"{name}_id"), F.col(text).alias(f"{name}_text"))
-    near = F.least("_src", "_tgt") >= F.greatest("_src", "_tgt") * F.lit(threshold)
-    pairs = keyed(source, "src").join(keyed(target, "tgt"), "_gram").filter(near).select(*PAIR).distinct()
-    both = pairs.join(texts(source, "src"), "src_id").join(texts(target, "tgt"), "tgt_id")
-    scored = both.select(*PAIR, (1 - F.levenshtein("src_text", "tgt_text") / F.greatest(F.length("src_text"), F.length("tgt_text"))).alias("similarity"))
-    return scored.filter(F.col("similarity") >= threshold)
+        own = F.col(f"{name}_text")
+        without = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
+        lengths = F.filter(_longer(F.length(own), threshold), lambda n: _few_forms(n, threshold))
+        cut = side.select(own, F.explode(lengths).alias("_longer")).withColumn("_cut", _edits(F.col("_longer"), threshold) - F.col("_longer") + F.length(own)).filter("_cut >= 0")
+        forms = F.aggregate(F.slice(F.array(*map(F.lit, range(FORMS.bit_length()))), 1, F.col("_cut")), F.array(own), lambda found, _: F.array_distinct(F.flatten(F.transform(found, without))))
+        return cut.select(own, "_longer", F.explode(forms).alias("_form")).withColumn("_form", F.xxhash64("_form"))
+
+    return keyed(source, "src").join(keyed(target, "tgt"), ["_longer", "_form"]).select("src_text", "tgt_text")
+
+
+def _by_letter_pairs(source: DataFrame, target: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts that share one of their rarest letter pairs, of lengths that have too many forms.
+
+    An edit changes two letter pairs of a padded text at most, so of those of a similar pair all but
+    two for each edit are shared. Then one of the rarest in each text is shared as well, if one more
+    than may be lost are taken in the same order. A letter pair that comes again counts as another one.
+    """
+
+    def counted(side: DataFrame, name: str) -> DataFrame:
+        own = F.col(f"{name}_text")
+        padded = F.concat(F.lit("#"), own, F.lit("#"))
+        grams = F.transform(F.sequence(F.lit(1), F.length(own) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+        long = side.filter(F.exists(_longer(F.length(own), threshold), lambda n: ~_few_forms(n, threshold)))
+        found = long.select(own, F.explode(grams).alias("_gram")).groupBy(own, "_gram").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+        return found.select(own, "_gram", F.explode(F.sequence(F.lit(1), "_n")).alias("_nth"))
+
+    a, b = counted(source, "src"), counted(target, "tgt")
+    often = a.select("_gram", "_nth").unionByName(b.select("_gram", "_nth")).groupBy("_gram", "_nth").agg(F.count(F.lit(1)).alias("_often"))
+
+    def rarest(found: DataFrame, name: str) -> DataFrame:
+        place = F.row_number().over(W.partitionBy(f"{name}_text").orderBy("_often", "_gram", "_nth"))
+        most = F.floor(F.length(f"{name}_text") * (2 * (1 - threshold)) + 1e-6) + 1
+        return found.join(often, ["_gram", "_nth"]).withColumn("_place", place).filter(F.col("_place") <= most).select(f"{name}_text", "_gram", "_nth")
+
+    lengths = F.length("src_text"), F.length("tgt_text")
+    met = rarest(a, "src").join(rarest(b, "tgt"), ["_gram", "_nth"])
+    near = F.abs(lengths[0] - lengths[1]) <= _edits(F.greatest(*lengths), threshold)
+    return met.filter(near & ~_few_forms(F.greatest(*lengths), threshold)).select("src_text", "tgt_text")
 
 
 def mediated(to_bridge: DataFrame, from_bridge: DataFrame) -> DataFrame:
