@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import decimal
+import os
+import subprocess
+import sys
+from pathlib import Path
+
+import pyspark
 import pytest
 
-from weft.sources import alignments, corpora, ontologies
+from weft.sources import alignments, corpora, ontologies, trees
 
 
 def write(path, text):
@@ -83,3 +91,42 @@ def test_corpora(spark, tmp_path):
     assert (row.id, row.kind, row.headline, row.text.split()) == ("N1", "story", "Big news", ["one", "two"])
     pages = spark.createDataFrame([("<html><title>T</title><script>x<y</script><p>a</p> b</html>",)], "html string")
     assert corpora.html_text(pages).first().plain == "T a b"
+
+
+def test_database_keeps_values(spark, tmp_path):
+    rows = [
+        (1, 'a "b",\n c', 1.5, datetime.date(2020, 1, 2), decimal.Decimal("1.25"), True, bytearray(b"\0x"), datetime.datetime(2020, 1, 2, 3, 4, 5, 678901)),
+        (2, "", None, None, None, False, None, None),
+        (2, None, 0.0, None, None, None, None, None),
+        (4, " é🙂 ", -2.0, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "a long, b string, c double, d date, e decimal(10,2), f boolean, g binary, h timestamp")
+    for name, some in (("T1", df.repartition(3)), ("T2", df.limit(0))):  # a folder with a blank, another table beside the first
+        url = trees.write_embedded(some, f"file://{tmp_path}/a b", name)
+        got = trees.read_database(spark, url, name, **trees.EMBEDDED)
+        assert got.dtypes == df.dtypes and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, some.collect()), key=str)
+
+
+CLUSTER = """
+import sys
+from pyspark.sql import SparkSession
+from weft.plans import registry
+
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").config("spark.checkpoint.dir", "file://" + sys.argv[2]).getOrCreate()
+for _ in range(2):
+    df = registry.QUERIES["A7_database"](spark, sys.argv[1])
+    print("ROWS", df.repartition(4).count(), df.distinct().count())
+spark.stop()
+"""
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no tables here")
+def test_database_is_read_by_executors(tmp_path):
+    """Executors are processes of their own, which see the shared folder alone."""
+    (tmp_path / "home" / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():  # the executors' logs go to work in Spark's home
+        if p.name != "work":
+            (tmp_path / "home" / p.name).symlink_to(p)
+    env = os.environ | {"SPARK_HOME": f"{tmp_path}/home", "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable, "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    said = subprocess.run([sys.executable, "-c", CLUSTER, "/root/testdata/sf0.001", f"{tmp_path}/shared"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert said.stdout.count("ROWS 25 25") == 2, said.stderr[-3000:]

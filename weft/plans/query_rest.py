@@ -37,11 +37,9 @@ def stored_triples(x: Inputs):
 
 
 def from_database(x: Inputs):
-    """A table written to and read from a database in memory."""
-    url = f"jdbc:derby:memory:w{abs(hash(shared(x)))};create=true"
-    options = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    x.table("nation").select("n_nationkey", "n_name").write.jdbc(url, "nation", properties=options)
-    return trees.read_database(x.spark, url, "nation", **options).select(F.col("n_nationkey"), F.col("n_name"))
+    """A table written to and read from a database that driver and executors share."""
+    url = trees.write_embedded(x.table("nation").select("n_nationkey", "n_name"), shared(x), "nation")
+    return trees.read_database(x.spark, url, "nation", **trees.EMBEDDED).select(F.col("n_nationkey"), F.col("n_name"))
 
 
 def ran_tasks(x: Inputs):
