@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from weft.functions import normalise as N
 from weft.functions import strings as S
 from weft.operators import candidates as C
+from weft.operators.cut import kept
 
 PAIR = ["src_id", "tgt_id"]
 FIELDS = {"local_name": 0.0, "label": 0.7, "comment": 0.2, "see_also": 0.05, "is_defined_by": 0.05}
@@ -101,7 +102,7 @@ def soft_vector_words(source: DataFrame, target: DataFrame, least: float = 0.8)
     vectors = C.tf_idf_vectors(corpus)
     side = lambda x, name: vectors.filter(F.col("id").startswith(x)).select(F.expr("cast(substring(id, 2) as bigint)").alias(f"{name}_id"), F.col("word").alias(f"{name}_word"), F.col("weight").alias(f"{name}_weight"))
     a, b = side("s", "src"), side("t", "tgt")
-    words = lambda v, name: v.select(F.col(f"{name}_word").alias("label")).distinct().withColumn("id", F.col("label"))
+    words = lambda v, name: kept(v.select(F.col(f"{name}_word").alias("label")).distinct()).withColumn("id", F.col("label"))
     alike = C.similar_pairs(words(a, "src"), words(b, "tgt"), least).select(F.col("src_id").alias("src_word"), F.col("tgt_id").alias("tgt_word"), "similarity")
     met = a.join(alike, "src_word").join(b, "tgt_word")
     best = met.groupBy(*PAIR, "src_word", "src_weight").agg(F.max(F.struct("similarity", "tgt_weight")).alias("b"))
