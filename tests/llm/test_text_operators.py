@@ -13,9 +13,11 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, chat, decontamination, exact_dedup, jaccard_join, language, licenses, pii, secrets, token_files
+from weft.llm import bpe, chat, common, decontamination, exact_dedup, jaccard_join, language, licenses, pii, secrets, token_files
+from weft.llm.common import only, released
 from weft.llm.components import components
 from weft.llm.hashing import WordHasher, byte_table
 from weft.llm.pretokenize import COMMON, cutter
@@ -174,6 +176,45 @@ def test_jaccard_join_over_many_near_copies(spark, monkeypatch, block, links, ex
     assert got == sorted(brute_components(rows))
 
 
+def test_near_copies_are_dropped_without_counting_links(spark, monkeypatch):
+    """The pipeline's stage needs components only; its small tables are a few files, however many tasks make them."""
+    written = {}
+
+    def stored(df, name, passing=None, before=jaccard_join.stored):
+        made = before(df, name, passing)
+        written.setdefault(name, []).append(len(made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    rows = families()
+    shuffled = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = sorted(r.doc_id for r in jaccard_join.drop_near_copies(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    assert kept == sorted({c for _, _, c, _ in brute_components(rows)})
+    assert "degrees" not in written
+    assert max(written["keys"] + written["links"]) <= 4
+
+
+def test_workers_drop_what_another_operator_kept():
+    """A task that doesn't ask only() for anything leaves nothing that an operator before it kept."""
+
+    def keeps(batches):
+        only("model", lambda: "large")
+        yield from batches
+
+    def looks(batches):
+        yield from batches
+
+    for run, kept in ((keeps, ["model"]), (keeps, ["model"]), (looks, [])):
+        sent = cloudpickle.loads(cloudpickle.dumps(released(run)))  # as a worker gets it
+        assert list(sent(iter([1, 2]))) == [1, 2]
+        assert list(common._HELD) == kept
+
+
 def test_exact_join_at_the_threshold(spark):
     """Pairs that just link or just don't, of all small sizes: nothing hangs on a probability."""
     rows = []

@@ -59,23 +59,41 @@ def _trim() -> None:
 
 
 _HELD: dict[object, object] = {}
+#: The keys that the task at work has asked only() for.
+_ASKED: set[object] = set()
 
 
 def only(key: object, make: Callable[[], object]):
     """What an operator keeps in a Python worker from one task to the next; another operator's is dropped for it."""
+    _ASKED.add(key)
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _begun() -> None:
+    _ASKED.clear()
+
+
+def _ended() -> None:
+    """These work on the worker's own module, where wrapped() below would bring copies of its dicts."""
+    if not _ASKED:
+        _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    _trim()
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and after it the memory that its worker holds without use goes back: workers outlive tasks and stages."""
+    """run, and after it the memory that its worker holds without use goes back: workers outlive tasks and stages.
+
+    What only() keeps goes too if run didn't ask for it: another operator is at work then.
+    """
 
     def wrapped(batches: Iterator) -> Iterator:
+        _begun()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        _trim()
+        _ended()
 
     return wrapped
 
@@ -134,6 +152,15 @@ def stored(df: DataFrame, name: str, passing: list[str] | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df for stored(), where many tasks make few rows each: dealt anew, so that files go by size and not by task.
+
+    On a local file system without Hadoop's native library each file costs an executor two
+    processes (chmod, also for the checksum's file).
+    """
+    return df.hint("rebalance")
+
+
 def text_of(name: str = "text") -> Column:
     """The text column; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

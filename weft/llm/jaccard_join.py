@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import keyed, released, remove, ship, stored, table, text_of, type_of, without
+from weft.llm.common import gathered, keyed, released, remove, ship, stored, table, text_of, type_of, without
 from weft.llm.components import components
 from weft.llm.hashing import WordHasher, byte_table, constants, mix, run_hashes
 
@@ -414,7 +414,7 @@ class _Join:
 
     def keyed(self, rows: DataFrame) -> DataFrame:
         rows = rows.repartition(self.parts, "key").sortWithinPartitions("key", "node")
-        return self.stored(rows.mapInArrow(released(_key_groups), "key long, node long, before long"), "keys")
+        return self.stored(gathered(rows.mapInArrow(released(_key_groups), "key long, node long, before long")), "keys")
 
     def described(self, keys: DataFrame) -> DataFrame:
         """node, n, h and sketch of the nodes of some keys."""
@@ -441,7 +441,7 @@ class _Join:
         """The pairs (a, b) whose sets link."""
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         both = both.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return self.stored(both.select("a", "b", "x", "y").mapInArrow(released(_verified), "a long, b long"), "links")
+        return self.stored(gathered(both.select("a", "b", "x", "y").mapInArrow(released(_verified), "a long, b long")), "links")
 
     def neighbours(self, keys: DataFrame, nodes: DataFrame) -> DataFrame:
         """Pairs of nodes that follow each other in a key, as far as size and sketch allow."""
@@ -493,8 +493,8 @@ class _Join:
         counted = dealt.mapInArrow(released(_link_counts), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
         return stored(two.unionByName(counted), "degrees")
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """node, label and node, links of the nodes that some link touches."""
+    def run(self, count: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """node, label and, if they are to be counted, node, links of the nodes that some link touches."""
         keys = self.keyed(self.nodes.select(F.explode("keys").alias("key"), "node"))
         nodes = self.described(keys)
         sets = self.sets_of(nodes)
@@ -503,10 +503,15 @@ class _Join:
         labels = components(links)
         more = self.linked(self.across(keys, nodes, labels, tried), sets)
         labels = labels if more.isEmpty() else components(links.unionByName(more))
-        degrees = self.degrees(labels, sets)
+        degrees = self.degrees(labels, sets) if count else None
         remove(self.passing)
         return labels, degrees
 
+    def named(self, labels: DataFrame) -> DataFrame:
+        """The classes with label and component_id: the smallest id of each component."""
+        found = self.classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return found.join(found.groupBy("label").agg(F.min("class_id").alias("component_id")), "label")
+
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """id, n_shingles, component_id, class_id, n_links; one row out for each row in.
@@ -521,11 +526,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     join = _Join(docs, id_col, text_col, exact)
     labels, degrees = join.run()
-    named = join.classes.join(labels, "node", "left").join(degrees, "node", "left")
-    named = named.withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
-    named = named.join(least, "label").select("mark", "n", "check", "class_id", "component_id", links.alias("n_links"))
+    named = join.named(labels).join(degrees, "node", "left").select("mark", "n", "check", "class_id", "component_id", links.alias("n_links"))
     out = join.profiles.select("id", "n", "mark", "check").join(named, ["mark", "n", "check"], "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -544,8 +546,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs, key = keyed(docs)
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(f"{key}.file").alias("file"), F.col(f"{key}.place").alias("place"))
-    found = jaccard_join(docs.select(order.alias("id"), F.col(text_col).alias("text")), "id")
-    return without(docs, key, found.filter("id <> component_id").select("id"))
+    join = _Join(docs.select(order.alias("id"), F.col(text_col).alias("text")), "id", "text", False)
+    labels, _ = join.run(count=False)  # no row stays or goes by its number of links
+    named = join.named(labels).select("mark", "n", "check", "component_id")
+    return without(docs, key, join.profiles.join(named, ["mark", "n", "check"]).filter("id <> component_id").select("id"))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
